@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from chronograft.llm import q_quality
+from chronograft.llm import q_mixing, q_quality
 
 
 def queries() -> dict:
-    return {"op8_quality_rules": q_quality.op8_quality_rules}
+    return {"op3_mixing": q_mixing.op3_mixing, "op8_quality_rules": q_quality.op8_quality_rules}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_quality_rules": q_quality.SQL}
+    return {"op3_mixing": q_mixing.SQL, "op8_quality_rules": q_quality.SQL}
