@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from chronograft.llm import q_mixing, q_quality
+from chronograft.llm import q_mixing, q_quality, q_simhash
 
 
 def queries() -> dict:
-    return {"op3_mixing": q_mixing.op3_mixing, "op8_quality_rules": q_quality.op8_quality_rules}
+    return {
+        "op1_simhash": q_simhash.op1_simhash,
+        "op3_mixing": q_mixing.op3_mixing,
+        "op8_quality_rules": q_quality.op8_quality_rules,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
