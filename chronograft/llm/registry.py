@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from chronograft.llm import q_mixing, q_quality, q_simhash
+from chronograft.llm import q_decontaminate, q_mixing, q_quality, q_simhash, q_tokens
 
 
 def queries() -> dict:
     return {
         "op1_simhash": q_simhash.op1_simhash,
+        "op2_decontaminate": q_decontaminate.op2_decontaminate,
         "op3_mixing": q_mixing.op3_mixing,
+        "op6_token_output": q_tokens.op6_token_output,
         "op8_quality_rules": q_quality.op8_quality_rules,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_mixing": q_mixing.SQL, "op8_quality_rules": q_quality.SQL}
+    return {"op2_decontaminate": q_decontaminate.SQL, "op3_mixing": q_mixing.SQL, "op8_quality_rules": q_quality.SQL}
