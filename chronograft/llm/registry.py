@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from chronograft.llm import q_decontaminate, q_mixing, q_quality, q_simhash, q_tokens
+from chronograft.llm import q_decontaminate, q_html, q_mixing, q_quality, q_secrets, q_simhash, q_tokens
 
 
 def queries() -> dict:
@@ -12,6 +12,8 @@ def queries() -> dict:
         "op3_mixing": q_mixing.op3_mixing,
         "op6_token_output": q_tokens.op6_token_output,
         "op8_quality_rules": q_quality.op8_quality_rules,
+        "op9_secrets": q_secrets.op9_secrets,
+        "op10_html_text": q_html.op10_html_text,
     }
 
 
