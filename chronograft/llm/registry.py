@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from chronograft.llm import q_decontaminate, q_html, q_mixing, q_quality, q_secrets, q_simhash, q_tokens
+from chronograft.llm import q_chat, q_decontaminate, q_html, q_mixing, q_quality, q_secrets, q_simhash, q_tokens
 
 
 def queries() -> dict:
@@ -11,6 +11,7 @@ def queries() -> dict:
         "op2_decontaminate": q_decontaminate.op2_decontaminate,
         "op3_mixing": q_mixing.op3_mixing,
         "op6_token_output": q_tokens.op6_token_output,
+        "op7_chat_format": q_chat.op7_chat_format,
         "op8_quality_rules": q_quality.op8_quality_rules,
         "op9_secrets": q_secrets.op9_secrets,
         "op10_html_text": q_html.op10_html_text,
@@ -18,4 +19,9 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_decontaminate": q_decontaminate.SQL, "op3_mixing": q_mixing.SQL, "op8_quality_rules": q_quality.SQL}
+    return {
+        "op2_decontaminate": q_decontaminate.SQL,
+        "op3_mixing": q_mixing.SQL,
+        "op7_chat_format": q_chat.SQL,
+        "op8_quality_rules": q_quality.SQL,
+    }
