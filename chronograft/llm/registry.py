@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from chronograft.llm import q_chat, q_decontaminate, q_html, q_mixing, q_quality, q_secrets, q_simhash, q_substrings, q_tokens
+from chronograft.llm import q_chat, q_decontaminate, q_html, q_licenses, q_mixing, q_quality, q_secrets, q_simhash, q_substrings, q_tokens
 
 
 def queries() -> dict:
@@ -11,6 +11,7 @@ def queries() -> dict:
         "op2_decontaminate": q_decontaminate.op2_decontaminate,
         "op3_mixing": q_mixing.op3_mixing,
         "op4_suffix_dedup": q_substrings.op4_suffix_dedup,
+        "op5_licenses": q_licenses.op5_licenses,
         "op6_token_output": q_tokens.op6_token_output,
         "op7_chat_format": q_chat.op7_chat_format,
         "op8_quality_rules": q_quality.op8_quality_rules,
