@@ -32,10 +32,12 @@ from chronograft.storage import keep, new_path
 
 MAGIC, VERSION, BLOCK = b"CGTB", 1, 1 << 16
 END_ID = 1
-#: Words whose ids a Python worker remembers; beyond it, it starts anew.
-MEMORY = 400_000
+#: Pieces of text in each of the two generations whose ids a Python worker remembers.
+MEMORY = 800_000
 
-_FOLD = {c: c + 32 for c in range(65, 91)} | {c: 32 for c in b"\t\n\r"}
+_SPACED = bytes(32 if c in b"\t\n\r" else c for c in range(256))
+_FOLD = bytes(c + 32 if 65 <= c <= 90 else _SPACED[c] for c in range(256))
+_TAIL = b".,;:!?#*$%&|"
 
 
 def pack(ids: np.ndarray, bits: int) -> bytes:
@@ -52,6 +54,29 @@ def unpack(data: bytes, bits: int, n: int) -> np.ndarray:
     return np.packbits(wide, axis=1, bitorder="little").view("<u4").ravel()
 
 
+class _Memory(dict):
+    """Ids of pieces as bytes. Of ``MEMORY`` pieces or more, those not met since the last turn are forgotten."""
+
+    def __init__(self, tokenizer):
+        super().__init__()
+        self.tokenizer, self.old = tokenizer, {}
+
+    def __missing__(self, piece: bytes) -> bytes:
+        if len(self) >= MEMORY:
+            self.old = dict(self)
+            self.clear()
+        ids = self.old.get(piece)
+        if ids is None:
+            core = piece.rstrip(_TAIL)
+            # the tokenizer always cuts between a letter or digit and such marks
+            if core and len(core) < len(piece) and core.decode().lower()[-1].isalnum():
+                ids = self[core] + self[piece[len(core) :]]
+            else:
+                ids = np.array(self.tokenizer.encode(piece.decode(), add_special_tokens=False).ids, "<u4").tobytes()
+        self[piece] = ids
+        return ids
+
+
 class Encoder:
     """Ids of whole texts. Texts are cut at spaces, where this kind of tokenizer always cuts too, and
     the ids of each piece are remembered."""
@@ -60,25 +85,21 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {}
+        self.known = _Memory(self.tokenizer)
 
     @property
     def bits(self) -> int:
         return max(1, (self.tokenizer.get_vocab_size(with_added_tokens=True) - 1).bit_length())
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
-        # the tokenizer lowers A-Z itself; "<" could begin a special token, which it doesn't lower
-        split = [((t.translate(_FOLD) if "<" not in t else t.replace("\n", " ")).split(" ") if t else []) for t in texts]
-        known = self.known
-        missing = list({w for parts in split for w in parts if w not in known})
-        if len(known) + len(missing) > MEMORY:
-            known.clear()
-            missing = list({w for parts in split for w in parts})
-        for at in range(0, len(missing), 20_000):
-            some = missing[at : at + 20_000]
-            for w, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                known[w] = np.array(e.ids, "<u4").tobytes()
-        return [np.frombuffer(b"".join([known[w] for w in parts]), "<u4") for parts in split]
+        ids_of = self.known.__getitem__
+        out = []
+        for text in texts:
+            raw = (text or "").encode()
+            # the tokenizer lowers A-Z itself, but not within a special token, which begins with "<|"
+            pieces = raw.translate(_SPACED if b"<|" in raw else _FOLD).split(b" ")
+            out.append(np.frombuffer(b"".join(map(ids_of, pieces)), "<u4"))
+        return out
 
 
 _encoders: dict[str, Encoder] = {}
