@@ -107,19 +107,20 @@ def capped(matches: DataFrame, most: int) -> tuple[list, bool]:
 
 
 def within(spark, seconds: float, work):
-    """(result of ``work()``, timed out): jobs it starts are interrupted at the deadline; 0 is none."""
+    """(result of ``work()``, timed out): jobs it starts are cancelled at the deadline; 0 is none."""
     import threading
 
     if not seconds:
         return work(), False
-    tag, late = f"deadline-{uuid.uuid4().hex}", threading.Event()
+    group, late = f"deadline-{uuid.uuid4().hex}", threading.Event()
+    context = spark.sparkContext
 
     def stop():
         late.set()
-        spark.interruptTag(tag)
+        context.cancelJobGroup(group)
 
     timer = threading.Timer(seconds, stop)
-    spark.addTag(tag)
+    context.setJobGroup(group, "work with a deadline", interruptOnCancel=True)
     timer.start()
     try:
         return work(), False
@@ -129,4 +130,5 @@ def within(spark, seconds: float, work):
         raise
     finally:
         timer.cancel()
-        spark.removeTag(tag)
+        for name in ("spark.jobGroup.id", "spark.job.description", "spark.job.interruptOnCancel"):
+            context.setLocalProperty(name, None)
