@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from chronograft.llm.text import packed, unpacked, word_count
 from chronograft.storage import keep
 
-BINS = 1 << 16
+BINS = 1 << 12
 DEFAULT_WEIGHTS = (1, 2, 3)
 
 
