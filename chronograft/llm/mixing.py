@@ -67,7 +67,8 @@ def _copies(sizes: DataFrame, weights: tuple[int, ...], max_repeats: int, seed:
     plan = targets(totals, weights, max_repeats)
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     plan = plan.withColumn("whole", F.floor(ratio)).withColumn("need", F.col("target") - F.col("whole") * F.col("source_size"))
-    plan = plan.withColumnRenamed("source", "plan_source")
+    # written, so that its size is known: Spark broadcasts it where it is small and doesn't deal rows by source
+    plan = keep(plan.withColumnRenamed("source", "plan_source"), "mix-plan")
 
     d = sizes.join(plan, _same("source", "plan_source"), "left").drop("plan_source")
     p = F.when(F.col("moment") > 0, F.col("need") * F.col("measure") / F.col("moment")).otherwise(F.lit(0.0))
@@ -82,7 +83,7 @@ def _copies(sizes: DataFrame, weights: tuple[int, ...], max_repeats: int, seed:
     bins = bins.withColumn("upto", F.sum("words").over(in_order))
     edge = bins.where((F.col("upto") > F.col("n")) & (F.col("upto") - F.col("words") <= F.col("n"))).groupBy("source").agg(
         F.min(F.struct("bin", (F.col("upto") - F.col("words")).alias("before"))).alias("e"))
-    edge = edge.select(F.col("source").alias("edge_source"), F.col("e.bin").alias("edge_bin"), F.col("e.before").alias("before"))
+    edge = keep(edge.select(F.col("source").alias("edge_source"), F.col("e.bin").alias("edge_bin"), F.col("e.before").alias("before")), "mix-edge")
 
     d = d.join(edge, _same("source", "edge_source"), "left").drop("edge_source")
     at_edge = F.col("edge_bin").isNotNull() & (F.col("bin") == F.col("edge_bin"))
