@@ -27,6 +27,20 @@ def edited(rnd, text, n):
     return " ".join(w)
 
 
+def near_groups(texts):
+    """Index of the first member of each text's group, by all pairs of texts."""
+    fps, wide = [fingerprint(t) for t in texts], [simhash.wide_fingerprint(t) for t in texts]
+    group = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            bits = int(np.bitwise_count(wide[i][0] ^ wide[j][0]).sum())
+            shared = len(wide[i][1]) and len(wide[j][1]) and (wide[i][1] == wide[j][1]).any()
+            if (fps[i] ^ fps[j]).bit_count() <= 3 or shared and bits <= 51:
+                a, b = group[i], group[j]
+                group = [min(a, b) if g in (a, b) else g for g in group]
+    return group
+
+
 # near-dedup
 
 
@@ -87,6 +101,8 @@ def test_simhash_query(spark, tmp_path):
     want = sorted(map(str, ((r["doc_id"], format(f, "016x"), least[g]) for r, f, g in zip(rows, fps, group, strict=True))))
     assert sorted(map(str, map(tuple, got))) == want
     kept = simhash.keep_one_each(docs)
+    group = near_groups([r["text"] for r in rows])
+    least = {g: min((r["doc_id"] for r, x in zip(rows, group, strict=True) if x == g and r["doc_id"] is not None), default=None) for g in group}
     assert kept.columns == docs.columns and kept.count() == len(set(group))
     assert {r["doc_id"] for r in kept.collect()} == set(least.values())
     assert simhash.near_duplicates(docs.limit(0)).count() == 0 and simhash.keep_one_each(docs.limit(0)).count() == 0
@@ -262,7 +278,7 @@ def test_pipeline(spark, tmp_path):
     spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
 
     left = sorted(r for r in rows if failed(quality(r[1])) == 0)
-    group = groups([fingerprint(r[1]) for r in left])
+    group = near_groups([r[1] for r in left])
     left = [r for i, r in enumerate(left) if group[i] == i]
     left = [r for r in left if not contamination(r[1], items)[2]]
     *_, copies = mix([(r[0], r[3], r[1]) for r in left])
@@ -273,7 +289,7 @@ def test_pipeline(spark, tmp_path):
         for _ in range(c):
             want.append((r[0], at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
             at += len(ids)
-    assert 40 < len(left) < len(good) + 20
+    assert 30 < len(left) <= len(good)
     assert sorted(map(tuple, corpus_pipeline.run(spark, str(tmp_path)).collect())) == sorted(want)
     for name, stage in corpus_pipeline.STAGES[:-1]:
         out = stage(spark, docs, str(tmp_path))
@@ -285,3 +301,29 @@ def test_clashing_columns_pass_through(spark):
     docs = frame(spark, ODD)
     for f in (simhash.keep_one_each, mixing.mix):
         assert f(docs).columns == docs.columns
+
+
+def _jaccard(a, b):
+    cut = lambda t: {tuple(w[i : i + 5]) for w in [t.split()] for i in range(max(1, len(w) - 4))}
+    a, b = cut(a), cut(b)
+    return len(a & b) / len(a | b)
+
+
+@pytest.mark.parametrize("bucket", [2048, 10])
+def test_similar_texts_are_linked(spark, monkeypatch, bucket):
+    """Copies of Jaccard similarity 0.85 and more are found, texts that share a passage stay apart."""
+    monkeypatch.setattr(simhash.wide_links, "__defaults__", (bucket,))
+    rnd = random.Random(21)
+    long_words = [f"w{i}" for i in range(3000)]
+    say = lambda n: " ".join(rnd.choice(long_words) for _ in range(n))
+    base = [say(260) for _ in range(25)]
+    passage = say(60)
+    copies = [(i, edited(rnd, b, 3)) for i, b in enumerate(base) for _ in range(2)]
+    apart = [say(60) + " " + passage + " " + say(60) for _ in range(30)]
+    texts = base + [t for _, t in copies] + apart + base[:3]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    kept = {r["doc_id"] for r in simhash.keep_one_each(docs).collect()}
+    n = len(base) + len(copies)
+    assert set(range(len(base))) <= kept and set(range(n, n + len(apart))) <= kept and not kept & set(range(n + len(apart), len(texts)))
+    similar = [j + len(base) for j, (i, t) in enumerate(copies) if _jaccard(base[i], t) >= 0.85]
+    assert len(similar) > 30 and not kept & set(similar)
