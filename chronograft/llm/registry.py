@@ -24,6 +24,8 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op2_decontaminate": q_decontaminate.SQL,
         "op3_mixing": q_mixing.SQL,
+        "op4_suffix_dedup": q_substrings.SQL,
+        "op5_licenses": q_licenses.SQL,
         "op7_chat_format": q_chat.SQL,
         "op8_quality_rules": q_quality.SQL,
     }
