@@ -31,6 +31,19 @@ def vertex_candidates(profiles: DataFrame, p: Pattern, q: int, k: int) -> DataFr
     return profiles.where(test).select(F.col("id").alias("v"))
 
 
+def reject_reasons(profiles: DataFrame, p: Pattern, q: int, k: int) -> DataFrame:
+    """One row: vertices with the label of ``q``, and how many of them each further test rejects."""
+    out, inc = p.out(q), p.inc(q)
+    few = F.lit(False)
+    for x in LABELS:
+        for side, near in (("out", out), ("in", inc)):
+            few |= F.col(f"{side}_{x}") < sum(p.labels[b] == x for b in near)
+    return profiles.where(F.col("label") == p.labels[q]).agg(
+        F.lit(q).alias("q"), F.count("*").alias("n_label"), F.count_if(F.col("out_deg") < len(out)).alias("n_out_degree"),
+        F.count_if(F.col("in_deg") < len(inc)).alias("n_in_degree"), F.count_if(F.col("active_duration") < k).alias("n_duration"),
+        F.count_if(few).alias("n_neighbours"))
+
+
 def _arcs(durable: DataFrame, a: str, b: str) -> DataFrame:
     return durable.select(F.col("src").alias(a), F.col("dst").alias(b)).distinct()
 

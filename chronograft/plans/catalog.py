@@ -11,7 +11,8 @@ from chronograft.functions import intervals as iv
 from chronograft.operators import candidates, matcher, snapshots, static, stats, variants
 from chronograft.operators.graph import TemporalGraph
 from chronograft.plans import decompose, pattern, sql
-from chronograft.sources import tables
+from chronograft.sources import sinks, tables, text
+from chronograft.storage import new_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -176,6 +177,21 @@ _register("set_diff_trim", f"{_CAND} SELECT v_par, v_cand FROM r1 EXCEPT SELECT
     lambda s, d: (t := candidates.build(_graph(s, d), TRIANGLE, TREE, K)).relations[1].join(
         candidates.trim_top_down(candidates.trim_bottom_up(t)).relations[1], ["v_par", "v_cand"], "left_anti"))
 
+_register("bfs_trim", f"""{_CAND}, d2 AS (SELECT * FROM r2 WHERE v_par IN (SELECT v_cand FROM r1)), u1 AS (SELECT * FROM r1 WHERE v_cand IN (SELECT v_par FROM d2)),
+  u0 AS (SELECT v FROM c0 WHERE v IN (SELECT v_par FROM u1)) """ + _REL_SQL.format("u0", "u1", "d2"))(
+    lambda s, d: _rels(candidates.trim_bottom_up(candidates.trim_top_down(candidates.build(_graph(s, d), TRIANGLE, TREE, K)))))
+_FEW = {0: "out_B < 1 OR in_C < 1", 1: "out_C < 1 OR in_A < 1", 2: "out_A < 1 OR in_B < 1"}
+_register("bfs_debug_counters", f"{_CAND} " + " UNION ALL ".join(
+    f"SELECT {q} AS q, count(*)::BIGINT AS n_label, count(*) FILTER (out_deg < 1)::BIGINT AS n_out_degree, count(*) FILTER (in_deg < 1)::BIGINT AS n_in_degree, "
+    f"count(*) FILTER (active_duration < 25)::BIGINT AS n_duration, count(*) FILTER ({few})::BIGINT AS n_neighbours FROM prof WHERE label = '{'ABC'[q]}'" for q, few in _FEW.items()))(
+    lambda s, d: _reasons(stats.profiles(_graph(s, d))))
+
+
+def _reasons(profiles: DataFrame) -> DataFrame:
+    parts = [candidates.reject_reasons(profiles, TRIANGLE, q, 25) for q in range(3)]
+    return parts[0].union(parts[1]).union(parts[2])
+
+
 # ---- durable matching
 
 PATTERNS = {
@@ -341,6 +357,38 @@ _register("ds_history", f"WITH {MONTH} SELECT src, dst, string_agg(t, ',' ORDER
 _register("ds_count_durable", KEPT.replace("WHERE src <> dst AND", "WHERE") + " SELECT (SELECT count(DISTINCT (src, dst)) FROM occ)::BIGINT AS n_arcs, count(DISTINCT (src, dst))::BIGINT AS n_durable FROM kept")(
     lambda s, d: snapshots.count_durable(snapshots.history(_occ(s, d))))
 
+
+
+@_register("src_temporal_strict", f"WITH {MONTH} SELECT * FROM occ")
+def src_temporal_strict(spark: SparkSession, d: str) -> DataFrame:
+    """Occurrences written as an edge list and read back by the strict grammar."""
+    path = new_path(spark, "edges")
+    sinks.write_occurrences(snapshots.dedup(_occ(spark, d)), path)
+    return text.read_occurrences(spark, path)
+
+
+@_register("snk_history", KEPT.replace("WHERE src <> dst AND", "WHERE") + " SELECT (SELECT count(DISTINCT (src, dst)) FROM occ)::BIGINT AS n_arcs, count(DISTINCT (src, dst))::BIGINT AS n_durable FROM kept")
+def snk_history(spark: SparkSession, d: str) -> DataFrame:
+    """Durable arcs counted from a history dump that was written and read back."""
+    path = new_path(spark, "history")
+    sinks.write_history(_occ(spark, d), path)
+    return snapshots.count_durable(text.read_history(spark, path))
+
+
+@_register("snk_match_lines", sql.matches(TRIANGLE, 2, QUARTER, select=f"SELECT 'q0(A)->' || q0 || ', q1(B)->' || q1 || ', q2(C)->' || q2 || ' | active=' || {_TEXT} AS value FROM found GROUP BY q0, q1, q2"))
+def snk_match_lines(spark: SparkSession, d: str) -> DataFrame:
+    return sinks.match_lines(matcher.match(tables.trade(spark, d, "quarter"), TRIANGLE, 2), TRIANGLE)
+
+
+@_register("snk_native", f"""WITH {QUARTER}, arcs AS ({ARCS}), r AS (SELECT id, dense_rank() OVER (ORDER BY id) - 1 AS v FROM (SELECT src AS id FROM arcs UNION SELECT dst FROM arcs))
+  SELECT 't # 0' AS value UNION ALL SELECT (SELECT count(*) FROM r) || ' ' || (SELECT count(*) FROM arcs) || ' 5' UNION ALL SELECT 't # -1'
+  UNION ALL SELECT 'v ' || v || ' ' || (ascii(label) - 64) FROM r JOIN lab USING (id)
+  UNION ALL SELECT 'e ' || a.v || ' ' || b.v FROM arcs JOIN r a ON a.id = src JOIN r b ON b.id = dst""")
+def snk_native(spark: SparkSession, d: str) -> DataFrame:
+    arcs = static.collapse(tables.trade_occurrences(spark, d, "quarter"))
+    return sinks.native_lines(arcs, tables.nation_labels(spark, d)).select("value")
+
+
 # ---- scalar functions over arc histories
 
 

@@ -94,6 +94,13 @@ def static_summary(rows: list[dict]) -> list[str]:
     return [f"data={r['data']} query={r['query']} Count: {r['count']} time_ms={r.get('ms', 0)} timed_out={yes(r['timed_out'])} truncated={yes(r['truncated'])}" for r in rows]
 
 
+def peak_rss_mb() -> float:
+    """Peak memory of the driver's Python process; executors report theirs as Spark metrics."""
+    import resource
+
+    return resource.getrusage(resource.RUSAGE_SELF).ru_maxrss / 1024
+
+
 class Timings:
     """Wall-clock milliseconds of named phases, written in the order of their first use."""
 
