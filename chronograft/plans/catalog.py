@@ -36,7 +36,7 @@ def _graph(spark: SparkSession, d: str, prefilter: bool = True) -> TemporalGraph
     return tables.trade(spark, d, "month", prefilter)
 
 
-MONTH, QUARTER, HOPS = sql.trade("month"), sql.trade("quarter"), sql.hops()
+MONTH, QUARTER = sql.trade("month"), sql.trade("quarter")
 KEPT = f"WITH {MONTH}, {sql.KEPT}"
 
 # ---- snapshot merge, prefilter, labels
@@ -118,9 +118,16 @@ def topk_start_vertices(spark: SparkSession, d: str) -> DataFrame:
 
 # ---- candidates: the triangle's tree is 0 -> 1 -> 2 with the closing arc 2 -> 0
 
-K = 3
+K = 2
+
+
+def _sparse(spark: SparkSession, d: str) -> TemporalGraph:
+    """A graph in which trims find something to remove."""
+    return tables.hops(spark, d, 72)
+
+
 TREE = decompose.by_topology(TRIANGLE, dict.fromkeys("ABCDE", 5))
-_CAND = f"""{KEPT}, {sql.PROFILES}, {sql.durable(K)},
+_CAND = f"""WITH {sql.hops(72)}, {sql.KEPT}, {sql.PROFILES}, {sql.durable(K)},
 c0 AS ({sql.vertex(TRIANGLE, 0, K)}), c1 AS ({sql.vertex(TRIANGLE, 1, K)}),
 r1 AS (SELECT src AS v_par, dst AS v_cand FROM dur WHERE src IN (FROM c0) AND dst IN (FROM c1)),
 n2 AS (SELECT v FROM ({sql.vertex(TRIANGLE, 2, K)}) WHERE EXISTS (FROM dur WHERE src = v AND dst IN (FROM c0))),
@@ -140,7 +147,7 @@ def _rels(t: candidates.CandidateTree) -> DataFrame:
 
 _REL_SQL = "SELECT 0 AS q, -1::BIGINT AS v_par, v AS v_cand FROM {} UNION ALL SELECT 1, v_par, v_cand FROM {} UNION ALL SELECT 2, v_par, v_cand FROM {}"
 _register("cand_vertex", f"{_CAND} SELECT 0 AS q, v FROM c0 UNION ALL SELECT 1, v FROM c1 UNION ALL SELECT 2, v FROM ({sql.vertex(TRIANGLE, 2, K)})")(
-    lambda s, d: _each_vertex(stats.profiles(_graph(s, d))))
+    lambda s, d: _each_vertex(stats.profiles(_sparse(s, d))))
 
 
 def _each_vertex(profiles: DataFrame) -> DataFrame:
@@ -148,43 +155,43 @@ def _each_vertex(profiles: DataFrame) -> DataFrame:
     return parts[0].union(parts[1]).union(parts[2])
 
 
-_register("cand_root", f"{_CAND} SELECT v FROM c0")(lambda s, d: candidates.vertex_candidates(stats.profiles(_graph(s, d)), TRIANGLE, TREE.root, K))
-_register("cand_arc_durable", f"{_CAND} SELECT src, dst FROM dur")(lambda s, d: _graph(s, d).durable(K).select("src", "dst").distinct())
-_register("cand_expand", f"{_CAND} " + _REL_SQL.format("c0", "r1", "r2"))(lambda s, d: _rels(candidates.build(_graph(s, d), TRIANGLE, TREE, K)))
+_register("cand_root", f"{_CAND} SELECT v FROM c0")(lambda s, d: candidates.vertex_candidates(stats.profiles(_sparse(s, d)), TRIANGLE, TREE.root, K))
+_register("cand_arc_durable", f"{_CAND} SELECT src, dst FROM dur")(lambda s, d: _sparse(s, d).durable(K).select("src", "dst").distinct())
+_register("cand_expand", f"{_CAND} " + _REL_SQL.format("c0", "r1", "r2"))(lambda s, d: _rels(candidates.build(_sparse(s, d), TRIANGLE, TREE, K)))
 
 
 @_register("cand_nontree_exists", f"{_CAND} SELECT v FROM n2")
 def cand_nontree_exists(spark: SparkSession, d: str) -> DataFrame:
-    g = _graph(spark, d)
+    g = _sparse(spark, d)
     profiles = stats.profiles(g)
     each = lambda q: candidates.vertex_candidates(profiles, TRIANGLE, q, K)
     return candidates.has_closing_arc(TRIANGLE, g.durable(K), 2, 0, each(2), each(0))
 
 
 _register("trim_bottom_up", f"{_CAND} " + _REL_SQL.format("b0", "b1", "r2"))(
-    lambda s, d: _rels(candidates.trim_bottom_up(candidates.build(_graph(s, d), TRIANGLE, TREE, K))))
-_register("trim_top_down", f"{_CAND} " + _REL_SQL.format("b0", "t1", "t2"))(lambda s, d: _rels(candidates.reduced(_graph(s, d), TRIANGLE, TREE, K)))
-_register("cand_unique", f"{_CAND} SELECT DISTINCT v_cand AS v FROM t2")(lambda s, d: candidates.reduced(_graph(s, d), TRIANGLE, TREE, K).of(2))
+    lambda s, d: _rels(candidates.trim_bottom_up(candidates.build(_sparse(s, d), TRIANGLE, TREE, K))))
+_register("trim_top_down", f"{_CAND} " + _REL_SQL.format("b0", "t1", "t2"))(lambda s, d: _rels(candidates.reduced(_sparse(s, d), TRIANGLE, TREE, K)))
+_register("cand_unique", f"{_CAND} SELECT DISTINCT v_cand AS v FROM t2")(lambda s, d: candidates.reduced(_sparse(s, d), TRIANGLE, TREE, K).of(2))
 _register("agg_cand_summary", f"""{_CAND} SELECT 0 AS q, 0::BIGINT AS n_blocks, (SELECT count(*) FROM b0)::BIGINT AS n_candidates, 0::BIGINT AS n_entries
   UNION ALL SELECT 1, count(DISTINCT v_par), count(DISTINCT v_cand), count(*) FROM t1
   UNION ALL SELECT 2, count(DISTINCT v_par), count(DISTINCT v_cand), count(*) FROM t2""")(
-    lambda s, d: candidates.summary(candidates.reduced(_graph(s, d), TRIANGLE, TREE, K)))
+    lambda s, d: candidates.summary(candidates.reduced(_sparse(s, d), TRIANGLE, TREE, K)))
 _register("agg_relation_total", f"{_CAND} SELECT ((SELECT count(*) FROM t1) + (SELECT count(*) FROM t2))::BIGINT AS n_entries")(
-    lambda s, d: candidates.summary(candidates.reduced(_graph(s, d), TRIANGLE, TREE, K)).agg(F.sum("n_entries").alias("n_entries")))
+    lambda s, d: candidates.summary(candidates.reduced(_sparse(s, d), TRIANGLE, TREE, K)).agg(F.sum("n_entries").alias("n_entries")))
 _register("limit_sample", f"{_CAND} SELECT DISTINCT v_cand AS v FROM t1 ORDER BY v LIMIT 20")(
-    lambda s, d: candidates.sample(candidates.reduced(_graph(s, d), TRIANGLE, TREE, K), 1))
+    lambda s, d: candidates.sample(candidates.reduced(_sparse(s, d), TRIANGLE, TREE, K), 1))
 _register("set_diff_trim", f"{_CAND} SELECT v_par, v_cand FROM r1 EXCEPT SELECT v_par, v_cand FROM t1")(
-    lambda s, d: (t := candidates.build(_graph(s, d), TRIANGLE, TREE, K)).relations[1].join(
+    lambda s, d: (t := candidates.build(_sparse(s, d), TRIANGLE, TREE, K)).relations[1].join(
         candidates.trim_top_down(candidates.trim_bottom_up(t)).relations[1], ["v_par", "v_cand"], "left_anti"))
 
 _register("bfs_trim", f"""{_CAND}, d2 AS (SELECT * FROM r2 WHERE v_par IN (SELECT v_cand FROM r1)), u1 AS (SELECT * FROM r1 WHERE v_cand IN (SELECT v_par FROM d2)),
   u0 AS (SELECT v FROM c0 WHERE v IN (SELECT v_par FROM u1)) """ + _REL_SQL.format("u0", "u1", "d2"))(
-    lambda s, d: _rels(candidates.trim_bottom_up(candidates.trim_top_down(candidates.build(_graph(s, d), TRIANGLE, TREE, K)))))
+    lambda s, d: _rels(candidates.trim_bottom_up(candidates.trim_top_down(candidates.build(_sparse(s, d), TRIANGLE, TREE, K)))))
 _FEW = {0: "out_B < 1 OR in_C < 1", 1: "out_C < 1 OR in_A < 1", 2: "out_A < 1 OR in_B < 1"}
 _register("bfs_debug_counters", f"{_CAND} " + " UNION ALL ".join(
     f"SELECT {q} AS q, count(*)::BIGINT AS n_label, count(*) FILTER (out_deg < 1)::BIGINT AS n_out_degree, count(*) FILTER (in_deg < 1)::BIGINT AS n_in_degree, "
     f"count(*) FILTER (active_duration < 25)::BIGINT AS n_duration, count(*) FILTER ({few})::BIGINT AS n_neighbours FROM prof WHERE label = '{'ABC'[q]}'" for q, few in _FEW.items()))(
-    lambda s, d: _reasons(stats.profiles(_graph(s, d))))
+    lambda s, d: _reasons(stats.profiles(_sparse(s, d))))
 
 
 def _reasons(profiles: DataFrame) -> DataFrame:
@@ -218,9 +225,9 @@ _register("match_selfloop", sql.matches(LOOP, 2, QUARTER, prefilter=False))(lamb
 _register("match_k1", sql.matches(TRIANGLE, 1, MONTH, prefilter=False))(lambda s, d: matcher.match(_graph(s, d, False), TRIANGLE, 1))
 _register("match_no_prefilter", sql.matches(TRIANGLE, 3, MONTH, prefilter=False))(lambda s, d: matcher.match(_graph(s, d, False), TRIANGLE, 3))
 HOP = pattern.of("q0:A q1:B", "q1:B q0:A", "q1:B q2:A", "q2:A q0:A")
-_register("match_hops", sql.matches(HOP, 2, HOPS))(lambda s, d: _ordered(tables.hops(s, d), HOP, 2))
+_register("match_hops", sql.matches(HOP, 2, sql.hops(15)))(lambda s, d: _ordered(tables.hops(s, d, 15), HOP, 2))
 HOP_TRIANGLE = pattern.of("x:A y:B", "y:B z:C", "z:C x:A")
-_register("match_hops_triangle", sql.matches(HOP_TRIANGLE, 2, HOPS))(lambda s, d: _ordered(tables.hops(s, d), HOP_TRIANGLE, 2))
+_register("match_hops_triangle", sql.matches(HOP_TRIANGLE, 2, sql.hops(15)))(lambda s, d: _ordered(tables.hops(s, d, 15), HOP_TRIANGLE, 2))
 
 
 def _ordered(g: TemporalGraph, p: pattern.Pattern, k: int) -> DataFrame:
@@ -228,13 +235,13 @@ def _ordered(g: TemporalGraph, p: pattern.Pattern, k: int) -> DataFrame:
     return matcher.match(g, p, k, matcher.arc_order(p, matcher.leg_sizes(g, k)))
 
 
-@_register("match_reduced", sql.matches(TRIANGLE, 3, MONTH))
+@_register("match_reduced", sql.matches(TRIANGLE, 2, sql.hops(30)))
 def match_reduced(spark: SparkSession, d: str) -> DataFrame:
     """Matches with legs reduced to the candidates of the trimmed tree."""
-    g = _graph(spark, d)
+    g = tables.hops(spark, d, 30)
     counts, lifespans = stats.label_tables(g)
-    tree = candidates.reduced(g, TRIANGLE, decompose.by_temporal(TRIANGLE, counts, lifespans), 3)
-    return matcher.match(g, TRIANGLE, 3, candidates=tree.all())
+    tree = candidates.reduced(g, TRIANGLE, decompose.by_temporal(TRIANGLE, counts, lifespans), 2)
+    return matcher.match(g, TRIANGLE, 2, candidates=tree.all())
 
 
 _register("match_count_only", sql.matches(TRIANGLE, 2, QUARTER, select="SELECT count(DISTINCT (q0, q1, q2))::BIGINT AS n_matches, false AS overflow FROM found"))(
