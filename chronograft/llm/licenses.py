@@ -141,6 +141,8 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path_c
     # paths are shared by many files: a directory's answer is found once, then joined to its files
     asked = wants.select(folder.alias("folder"), above.alias("above")).distinct().select("folder", F.explode("above").alias("a")).select("folder", "a.depth", "a.dir")
     nearest = asked.join(dirs, "dir").groupBy(F.col("folder").alias("at")).agg(F.max_by(F.struct("dir", "dir_licence"), "depth").alias("got"))
+    # written, so that its size is known before rows are dealt by directory to meet it
+    nearest = keep(nearest, "nearest")
     out = each.withColumn("folder", F.when(F.col("own_licence").isNull(), folder)).join(nearest, F.col("folder") == F.col("at"), "left")
     return out.select(
         F.col("id").alias(id_col), "path", "own_licence", "own_score",
