@@ -107,7 +107,7 @@ class _Page:
         self._flush()
 
     def _text(self, raw: str) -> None:
-        if raw:
+        if raw and not self.stack[-1].boiler:
             text = unescape(raw) if "&" in raw else raw
             self.pieces.append(text)
             if self.in_link:
@@ -120,8 +120,7 @@ class _Page:
                 node = self.stack[-1]
                 while node.tag not in BLOCK:
                     node = node.parent
-                if not self.stack[-1].boiler:
-                    self.blocks.append((node, text, self.links))
+                self.blocks.append((node, text, self.links))
             self.pieces, self.links = [], 0
 
     def _pop_to(self, depth: int) -> None:
@@ -157,24 +156,18 @@ class _Page:
         if tag in VOID:
             return
         node = _Node(tag, self.stack[-1], self.stack[-1].boiler or _is_boiler(tag, attrs))
-        if node.boiler and not node.parent.boiler and tag not in BLOCK:
-            self._flush_inline()
         if not attrs.rstrip().endswith("/"):
             self.stack.append(node)
             if tag == "a":
                 self.in_link += 1
 
-    def _flush_inline(self) -> None:
-        """Text before an inline boilerplate element stays in its block."""
-        self._flush()
-
     def _close(self, tag: str) -> None:
         if tag == "br":
             self.pieces.append(" ")
             return
         for d in range(len(self.stack) - 1, 0, -1):
             if self.stack[d].tag == tag:
-                if tag in BLOCK or self.stack[d].boiler != self.stack[d].parent.boiler:
+                if tag in BLOCK:
                     self._flush()
                 self._pop_to(d)
                 return

@@ -128,6 +128,7 @@ PAGE = """<!doctype html><html><head><title>T</title><style>p{}</style><script>v
          "Head\nAlpha, beta, gamma and so on, for a while.\nShort.\nSecond part, also, text, of the page, with commas."),
         ("<div class='story'><p>Just, a div, with text, and commas, that is long enough to win the vote of the tree.</p><ul><li>one<li>two</ul><div class=ads>Buy</div><p>Last.</div>",
          "Just, a div, with text, and commas, that is long enough to win the vote of the tree.\none\ntwo\nLast."),
+        ("<article><p>Text, in <button>no</button> one <span class=ad>no</span>block.<form><p>no</p></form><p>More.</article>", "Text, in one block.\nMore."),
         ("<article><p><b>Open bold.<br><p>Next <script>x</script>para<!-- c -->graph &lt;tag&gt; &#233;</article>", "Open bold.\nNext paragraph <tag> é"),
     ],
 )
