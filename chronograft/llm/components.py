@@ -13,15 +13,31 @@ from pyspark.sql import functions as F
 from chronograft.storage import forget, keep
 
 
-def _star(links: DataFrame, large: bool) -> DataFrame:
+#: Links of a node beyond which it may be met by broadcast, and the most such nodes.
+HUB, HUBS = 1000, 1000
+
+
+def _met(near: DataFrame, least: DataFrame, total: int) -> DataFrame:
+    """``near`` with the row of ``least`` for each link's node ``u``.
+
+    A hub's links would all be dealt to one task. Nodes with more than 2 * total / HUBS of the at most
+    2 * total rows are fewer than HUBS, so these are broadcast and their links stay where they are.
+    """
+    hub = F.col("n") > max(HUB, 2 * total // HUBS + 1)
+    hubs = F.broadcast(least.where(hub))
+    rest = near.join(hubs.select("node"), near["u"] == F.col("node"), "left_anti")
+    return near.join(hubs, near["u"] == hubs["node"]).union(rest.join(least.where(~hub), F.col("u") == F.col("node")))
+
+
+def _star(links: DataFrame, large: bool, total: int) -> DataFrame:
     """Links (u, v) turned towards the least of each node's neighbours and the node itself."""
     if large:
         near = links.select("u", "v").union(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
     else:
         near = links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    least = near.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("m"))
-    least = least.select("node", F.least("node", "m").alias("m"))
-    turned = near.join(least, near["u"] == least["node"])
+    least = near.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("m"), F.count("*").alias("n"))
+    least = least.select("node", F.least("node", "m").alias("m"), "n")
+    turned = _met(near, least, total)
     if large:
         turned = turned.where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:
@@ -32,13 +48,16 @@ def _star(links: DataFrame, large: bool) -> DataFrame:
 def components(links: DataFrame) -> DataFrame:
     """(node, root) for every node of ``links`` (u, v) that isn't its component's least node itself."""
     now = keep(links.where("u <> v").distinct(), "links")
-    seal = None
+    seal, total = None, now.count()
     while True:
-        then = keep(_star(_star(now, large=True), large=False), "links")
+        turned = keep(_star(now, True, total), "links")
+        # links never grow in number, so the count of the round before bounds the hubs of both stars
+        then = keep(_star(turned, False, total), "links")
+        forget(turned)
         # the table of links as a multiset-free digest: equal tables end the rounds
         new = then.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         forget(now)
-        now = then
+        now, total = then, new[0]
         if new == seal:
             return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
         seal = new

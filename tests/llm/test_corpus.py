@@ -327,3 +327,18 @@ def test_similar_texts_are_linked(spark, monkeypatch, bucket):
     assert set(range(len(base))) <= kept and set(range(n, n + len(apart))) <= kept and not kept & set(range(n + len(apart), len(texts)))
     similar = [j + len(base) for j, (i, t) in enumerate(copies) if _jaccard(base[i], t) >= 0.85]
     assert len(similar) > 30 and not kept & set(similar)
+
+
+@pytest.mark.parametrize("hub", [1000, 3])
+def test_components_with_hubs(spark, monkeypatch, hub):
+    from chronograft.llm import components as C
+
+    monkeypatch.setattr(C, "HUB", hub)
+    rnd = random.Random(hub)
+    links = [(7, i) for i in range(100, 180)] + [(rnd.randrange(200, 400), rnd.randrange(200, 400)) for _ in range(120)] + [(5, 5)]
+    root = {x: x for u, v in links for x in (u, v)}
+    for u, v in links:
+        a, b = root[u], root[v]
+        root = {x: min(a, b) if r in (a, b) else r for x, r in root.items()}
+    df = spark.createDataFrame(links, "u long, v long")
+    assert dict(components(df).collect()) == {x: r for x, r in root.items() if x != r}
