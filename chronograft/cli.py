@@ -6,6 +6,7 @@ Exit codes: 0 fine, 1 bad arguments, 2 bad input, 3 bad pattern, 4 output, 5 cou
 from __future__ import annotations
 
 import argparse
+import os
 import sys
 from pathlib import Path
 
@@ -111,8 +112,16 @@ def _options_last(argv: list[str]) -> list[str]:
     return plain + options
 
 
+def _place(path: str) -> str:
+    """A local path made absolute: Spark's own working directory may be another. URIs stay."""
+    return path if "://" in path else os.path.abspath(path)
+
+
 def run(spark: SparkSession, argv: list[str]) -> int:
     a = parser().parse_args(_options_last(argv))
+    for name in ("data", "output", "history"):
+        if getattr(a, name, None):
+            setattr(a, name, _place(getattr(a, name)))
     try:
         if a.command == "match":
             return _match(spark, a, a.data)

@@ -163,9 +163,9 @@ def test_command_line(spark, tmp_path, monkeypatch, capsys):
     assert cli.run(spark, ["static", "d.static", "p.static"]) == 0
     assert "Count: 1 " in capsys.readouterr().out
     assert cli.run(spark, ["filter", str(data), "f"]) == 0 and cli.run(spark, ["history", str(data), "h"]) == 0
-    assert rows(text.read_occurrences(spark, "f")) == [(10, 20, 1), (10, 20, 2)]
+    assert rows(text.read_occurrences(spark, str(tmp_path / "f"))) == [(10, 20, 1), (10, 20, 2)]
     capsys.readouterr()
     assert cli.run(spark, ["count-durable", "h"]) == 0 and "arcs=1 durable=1" in capsys.readouterr().out
     assert cli.run(spark, ["bucket", str(data), "b", "10", "--unique"]) == 0
-    assert rows(text.read_occurrences(spark, "b")) == [(10, 20, 1)]
+    assert rows(text.read_occurrences(spark, str(tmp_path / "b"))) == [(10, 20, 1)]
     assert parse(pat.read_text()).n == 2
