@@ -32,7 +32,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chronograft.llm.components import components
@@ -41,8 +41,9 @@ from chronograft.storage import keep
 
 SHINGLE, SEED, MAX_BITS = 3, 42, 3
 BUCKET = 2048
-#: For copies of similarity 0.8 or more: five-word shingles, 256 bits, eight keys.
-WIDE_SHINGLE, WIDE_KEYS, SIMILARITY = 5, 8, 0.8
+#: For copies of similarity 0.8 or more: five-word shingles, 256 bits, eight keys. The shingles of a task's
+#: texts whose sets are compared are about 2 * SHINGLES at most.
+WIDE_SHINGLE, WIDE_KEYS, SIMILARITY, SHINGLES = 5, 8, 0.8, 1 << 21
 N_PIVOTS = 32
 
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -215,22 +216,27 @@ def _spread(h: np.ndarray, n: int) -> np.ndarray:
         return z ^ (z >> np.uint64(31))
 
 
-def wide_fingerprint(text: str | None) -> tuple[np.ndarray, np.ndarray]:
-    """(256 bits as four words, WIDE_KEYS least hashes) of a text's WIDE_SHINGLE-word shingles.
+def shingle_set(text: str | None) -> np.ndarray:
+    """The distinct hashes of a text's WIDE_SHINGLE-word shingles, sorted."""
+    return np.unique(_shingle_hashes(text, WIDE_SHINGLE))
 
-    Two texts share a given least hash with a probability of their Jaccard similarity. Texts
-    without words have no keys.
+
+def wide_fingerprint(text: str | None) -> tuple[np.ndarray, np.ndarray, int]:
+    """(256 bits as four words, WIDE_KEYS least hashes, number) of a text's distinct WIDE_SHINGLE-word shingles.
+
+    Each distinct shingle votes once, so a phrase that a text repeats counts for no more than another. Two
+    texts share a given least hash with a probability of their Jaccard similarity. Texts without words have no keys.
     """
-    hashes = _shingle_hashes(text, WIDE_SHINGLE)
+    hashes = shingle_set(text)
     if not len(hashes):
-        return np.zeros(4, np.uint64), hashes
+        return np.zeros(4, np.uint64), hashes, 0
     total, least = np.zeros(256, np.int64), np.full(WIDE_KEYS, np.iinfo(np.uint64).max, np.uint64)
     for at in range(0, len(hashes), 4096):
         some = _spread(hashes[at : at + 4096], 4 + WIDE_KEYS)
         bits = np.unpackbits(np.ascontiguousarray(some[:4].T).view(np.uint8), axis=1, bitorder="little")
         total += bits.sum(0, dtype=np.int32)
         least = np.minimum(least, some[4:].min(1))
-    return np.packbits(2 * total > len(hashes), bitorder="little").view("<u8"), least
+    return np.packbits(2 * total > len(hashes), bitorder="little").view("<u8"), least, len(hashes)
 
 
 def _both_fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -239,14 +245,39 @@ def _both_fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordB
         prints = np.array([fingerprint(t) for t in texts], dtype=np.uint64).view(np.int64)
         wide = [wide_fingerprint(t) for t in texts]
         bits, keys = (pa.array([w[k].view(np.int64) for w in wide], pa.list_(pa.int64())) for k in (0, 1))
-        yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array(prints), bits, keys], names=[*b.schema.names[1:], "fp", "bits", "keys"])
+        n = pa.array([w[2] for w in wide], pa.int64())
+        yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array(prints), bits, keys, n], names=[*b.schema.names[1:], "fp", "bits", "keys", "n_shingles"])
+
+
+def _close(bits: np.ndarray, i: int, max_bits: int) -> np.ndarray:
+    """The places after ``i`` whose bits are within ``max_bits`` of its own."""
+    return np.flatnonzero(np.bitwise_count(bits[i + 1 :] ^ bits[i]).sum(1, dtype=np.int32) <= max_bits) + i + 1
+
+
+def candidates(bits: np.ndarray, keys: np.ndarray, t: int, max_bits: int) -> np.ndarray:
+    """Which members of a bucket of key ``t`` are within ``max_bits`` of another that shares no earlier key with them."""
+    out = np.zeros(len(bits), bool)
+    for i in range(len(bits) - 1):
+        near = _close(bits, i, max_bits)
+        near = near[~(keys[near, :t] == keys[i, :t]).any(1)]
+        out[near] = True
+        out[i] |= len(near) > 0
+    return out
 
 
-def wide_forest(nodes: np.ndarray, bits: np.ndarray, max_bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """(node, first node of its group) for the nodes that a link within ``max_bits`` joins to another."""
+def wide_forest(nodes: np.ndarray, bits: np.ndarray, sets: list[np.ndarray], max_bits: int, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """(node, first node of its group) for the nodes that a link joins to another.
+
+    A link is a pair within ``max_bits`` whose sets of shingles have a Jaccard similarity of ``similarity`` or more.
+    """
     order = np.argsort(nodes, kind="stable")
-    nodes, bits = nodes[order], bits[order]
+    nodes, bits, sets = nodes[order], bits[order], [sets[i] for i in order.tolist()]
     n = len(nodes)
+    sizes = np.array([len(x) for x in sets])
+    ends = np.cumsum(sizes)
+    values, places = np.unique(np.concatenate(sets), return_inverse=True)
+    places = np.split(places, ends[:-1])
+    held = np.zeros(len(values), bool)
     root = np.arange(n)
 
     def find(i: int) -> int:
@@ -256,24 +287,51 @@ def wide_forest(nodes: np.ndarray, bits: np.ndarray, max_bits: int) -> tuple[np.
         return i
 
     for i in range(n - 1):
-        for j in (np.flatnonzero(np.bitwise_count(bits[i + 1 :] ^ bits[i]).sum(1, dtype=np.int32) <= max_bits) + i + 1).tolist():
+        near = _close(bits, i, max_bits)
+        if not len(near):
+            continue
+        held[places[i]] = True
+        for j in near.tolist():
             a, b = find(i), find(j)
             if a != b:
-                root[max(a, b)] = min(a, b)
+                both = int(held[places[j]].sum())
+                if both >= similarity * int(sizes[i] + sizes[j] - both) - 1e-9:
+                    root[max(a, b)] = min(a, b)
+        held[places[i]] = False
     least = np.array([find(i) for i in range(n)])
     moved = least != np.arange(n)
     return nodes[moved], nodes[least[moved]]
 
 
-def _wide_linked(max_bits: int):
+def _words_of(column: pa.Array, n: int) -> np.ndarray:
+    """An array column's values, u64, ``n`` a row."""
+    return column.flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(-1, n)
+
+
+def _wide_candidates(max_bits: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ts, keys, nodes = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            for t, key, members in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
+                values = members.values
+                some = candidates(_words_of(values.field("bits"), 4), _words_of(values.field("keys"), WIDE_KEYS), t, max_bits)
+                nodes.append(values.field("node").to_numpy(zero_copy_only=False)[some])
+                ts.append(np.full(len(nodes[-1]), t, np.int32))
+                keys.append(np.full(len(nodes[-1]), key, np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (ts, keys, nodes)], names=["t", "key", "node"])
+
+    return run
+
+
+def _wide_linked(max_bits: int, similarity: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             us, vs = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
             for members in b.column(0):
                 values = members.values
                 nodes = values.field("node").to_numpy(zero_copy_only=False)
-                bits = values.field("bits").flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(len(nodes), 4)
-                u, v = wide_forest(nodes, bits, max_bits)
+                sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in values.field("shingles")]
+                u, v = wide_forest(nodes, _words_of(values.field("bits"), 4), sets, max_bits, similarity)
                 us.append(u)
                 vs.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(us)), pa.array(np.concatenate(vs))], names=["u", "v"])
@@ -281,43 +339,63 @@ def _wide_linked(max_bits: int):
     return run
 
 
-def wide_links(texts: DataFrame, max_bits: int, bucket: int = BUCKET) -> DataFrame:
-    """(u, v) over texts (node, bits, keys): forests of the links among texts that share a key.
+def _shingle_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        sets = pa.array([shingle_set(t).tobytes() for t in b.column(1).to_pylist()], pa.binary())
+        yield pa.RecordBatch.from_arrays([b.column(0), sets], names=["node", "shingles"])
+
 
-    A key of more than ``bucket`` texts is dealt into chunks, and each pair of chunks is a task's work.
+def _chunks(members: DataFrame, weight: Column, most: int) -> DataFrame:
+    """(t, key, n, chunks) of the keys of two members or more: into how many chunks of a weight of ``most`` each is dealt."""
+    return members.groupBy("t", "key").agg(F.count("*").alias("n"), F.ceil(F.sum(weight) / most).cast("int").alias("chunks")).where("n > 1")
+
+
+def _compared(members: DataFrame, *carried: str) -> DataFrame:
+    """(t, key, m): these columns of the members of each (t, key), a row for each pair of its chunks, which is a task's work."""
+    mine = F.pmod(F.xxhash64("node", "key"), F.col("chunks")).cast("int")
+    pairs = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda j: F.struct(F.least(mine, j).alias("i"), F.greatest(mine, j).alias("j")))
+    dealt = members.select("t", "key", *carried, F.explode(pairs).alias("c"))
+    return dealt.groupBy("t", "key", "c").agg(F.collect_list(F.struct(*carried)).alias("m")).where(F.size("m") > 1).select("t", "key", "m")
+
+
+def wide_links(texts: DataFrame, rows: DataFrame, max_bits: int, similarity: float, bucket: int = BUCKET) -> DataFrame:
+    """(u, v) over texts (node, bits, keys, n_shingles): forests of the links among texts that share a key.
+
+    Bits choose the candidates, and sets of shingles, made from ``rows`` (node, t), decide. A pair is looked at
+    under the first key it shares only, so that few sets are dealt more than once.
     """
-    keyed = texts.select("node", "bits", F.posexplode("keys").alias("t", "key"))
-    sizes = keyed.groupBy("t", "key").agg(F.count("*").alias("n")).where("n > 1")
-    members = keyed.join(sizes, ["t", "key"])
-    chunks = F.ceil(F.col("n") / bucket).cast("int")
-    mine = F.pmod(F.xxhash64("node", "key"), chunks).cast("int")
-    pairs = F.transform(F.sequence(F.lit(0), chunks - 1), lambda j: F.struct(F.least(mine, j).alias("i"), F.greatest(mine, j).alias("j")))
-    dealt = members.select("t", "key", "node", "bits", F.explode(pairs).alias("c"))
-    groups = dealt.groupBy("t", "key", "c").agg(F.collect_list(F.struct("node", "bits")).alias("m")).where(F.size("m") > 1).select("m")
-    return groups.mapInArrow(_wide_linked(max_bits), "u long, v long")
+    keyed = texts.select("node", "bits", "keys", F.posexplode("keys").alias("t", "key"))
+    shared = keyed.join(_chunks(keyed, F.lit(1), bucket), ["t", "key"])
+    found = _compared(shared, "node", "bits", "keys").mapInArrow(_wide_candidates(max_bits), "t int, key long, node long")
+    found = keep(found.distinct().join(texts.select("node", "bits", "n_shingles"), "node"), "candidates")
+    wanted = rows.groupBy("node").agg(F.first("t").alias("text")).join(found.select("node"), "node", "left_semi")
+    sets = wanted.mapInArrow(_shingle_sets, "node long, shingles binary")
+    members = found.join(_chunks(found, F.col("n_shingles"), SHINGLES), ["t", "key"]).join(sets, "node")
+    return _compared(members, "node", "bits", "shingles").select("m").mapInArrow(_wide_linked(max_bits, similarity), "u long, v long")
 
 
 def keep_one_each(docs: DataFrame, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The input rows, with all columns, of which one row of each group of near copies stays.
 
-    Texts are near copies if op 1's fingerprints link them, or if of 256 bits over five-word shingles a
-    share of ``similarity`` or more agrees and they have one of eight least shingle hashes in common.
-    (At a Jaccard similarity of 0.8, 0.85 of the bits agree on average, and a common key lacks in
-    three cases of a million.) The row with the group's least id stays, rows without an id coming
+    Texts are near copies if op 1's fingerprints link them, or if their sets of five-word shingles have a
+    Jaccard similarity of ``similarity`` or more. The sets are compared where texts have one of eight least
+    shingle hashes in common and of 256 bits a share of ``similarity`` or more agrees. (At a Jaccard
+    similarity of 0.8, 0.85 of the bits agree on average, and a common key lacks in three cases of a
+    million.) The row with the group's least id stays, rows without an id coming
     last, and then the least text hash. Rows that are equal in both are interchangeable.
     """
     text = F.col(f"`{text_col}`")
     narrow = docs.select(text.cast("string").alias("t"), F.col(f"`{id_col}`").alias("id"), F.xxhash64(text).alias("h"))
     kind = narrow.schema["id"].dataType.simpleString()
-    prints = keep(narrow.mapInArrow(_both_fingerprints, f"id {kind}, h long, fp long, bits array<long>, keys array<long>"), "prints")
+    prints = keep(narrow.mapInArrow(_both_fingerprints, f"id {kind}, h long, fp long, bits array<long>, keys array<long>, n_shingles long"), "prints")
     first = F.min(F.struct(F.col("id").isNull().alias("nameless"), "id", "h"))
-    texts = prints.groupBy("h").agg(F.first("fp").alias("fp"), F.first("bits").alias("bits"), F.first("keys").alias("keys"), first.alias("chosen"))
+    texts = prints.groupBy("h").agg(F.first("fp").alias("fp"), F.first("bits").alias("bits"), F.first("keys").alias("keys"), F.first("n_shingles").alias("n_shingles"), first.alias("chosen"))
     texts = keep(texts.withColumnRenamed("h", "node"), "texts")
     items = texts.groupBy("fp").agg(F.min("node").alias("rep"))
     same = texts.join(items, "fp").where("node <> rep").select(F.col("node").alias("u"), F.col("rep").alias("v"))
     near = links(items.select("fp")).join(items.select(F.col("fp").alias("u"), F.col("rep").alias("ru")), "u")
     near = near.join(items.select(F.col("fp").alias("v"), F.col("rep").alias("rv")), "v").select(F.col("ru").alias("u"), F.col("rv").alias("v"))
-    wide = wide_links(texts.select("node", "bits", "keys"), int((1 - similarity) * 256 + 1e-9))
+    wide = wide_links(texts.select("node", "bits", "keys", "n_shingles"), narrow.select(F.col("h").alias("node"), "t"), int((1 - similarity) * 256 + 1e-9), similarity)
     joined = components(same.union(near).union(wide)).withColumnRenamed("node", "of")
     roots = texts.select("node", "chosen").join(joined, F.col("node") == F.col("of"), "left").select("chosen", F.coalesce("root", "node").alias("root"))
     stay = roots.groupBy("root").agg(F.min("chosen").alias("chosen")).select(F.col("chosen.id").alias("stays"), F.col("chosen.h").alias("stays_h"))

@@ -329,6 +329,29 @@ def test_similar_texts_are_linked(spark, monkeypatch, bucket):
     assert len(similar) > 30 and not kept & set(similar)
 
 
+def copies_of(texts):
+    """Index of the first member of each text's group: op 1's links, and Jaccard similarities of 0.8 and more, by all pairs of texts."""
+    fps, group = [fingerprint(t) for t in texts], list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if (fps[i] ^ fps[j]).bit_count() <= 3 or _jaccard(texts[i], texts[j]) >= 0.8:
+                a, b = group[i], group[j]
+                group = [min(a, b) if g in (a, b) else g for g in group]
+    return group
+
+
+def test_repeated_phrase(spark):
+    """Beside op 1's links, texts that repeat the same line beside words of their own stay apart."""
+    rnd = random.Random(31)
+    line = " ".join(f"line{i}" for i in range(12))
+    own = [[f"w{d}x{i}" for i in range(324)] for d in range(60)]
+    texts = [" ".join([*w[:160], *[line] * 15, *w[160:]]) for w in own]
+    texts += [edited(rnd, t, 2) for t in texts[:3]]
+    want = set(copies_of(texts))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r["doc_id"] for r in simhash.keep_one_each(docs).collect()} == want
+
+
 @pytest.mark.parametrize("hub", [1000, 3])
 def test_components_with_hubs(spark, monkeypatch, hub):
     from chronograft.llm import components as C
