@@ -41,9 +41,10 @@ from chronograft.storage import keep
 
 SHINGLE, SEED, MAX_BITS = 3, 42, 3
 BUCKET = 2048
-#: For copies of similarity 0.8 or more: five-word shingles, 256 bits, eight keys. The shingles of a task's
+#: For copies of similarity 0.8 or more: five-word shingles, 256 bits, eight keys. At 0.8 about 38 bits differ
+#: (sd 6), so that the bits only choose candidates: WIDE_BITS is seven deviations above. The shingles of a task's
 #: texts whose sets are compared are about 2 * SHINGLES at most.
-WIDE_SHINGLE, WIDE_KEYS, SIMILARITY, SHINGLES = 5, 8, 0.8, 1 << 21
+WIDE_SHINGLE, WIDE_KEYS, WIDE_BITS, SIMILARITY, SHINGLES = 5, 8, 80, 0.8, 1 << 21
 N_PIVOTS = 32
 
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -379,9 +380,9 @@ def keep_one_each(docs: DataFrame, similarity: float = SIMILARITY, id_col: str =
 
     Texts are near copies if op 1's fingerprints link them, or if their sets of five-word shingles have a
     Jaccard similarity of ``similarity`` or more. The sets are compared where texts have one of eight least
-    shingle hashes in common and of 256 bits a share of ``similarity`` or more agrees. (At a Jaccard
-    similarity of 0.8, 0.85 of the bits agree on average, and a common key lacks in three cases of a
-    million.) The row with the group's least id stays, rows without an id coming
+    shingle hashes in common and differ in 80 of 256 bits or fewer. (At a Jaccard similarity of 0.8, 38
+    bits differ on average, with a deviation of 6, and a common key lacks in three cases of a million.)
+    The row with the group's least id stays, rows without an id coming
     last, and then the least text hash. Rows that are equal in both are interchangeable.
     """
     text = F.col(f"`{text_col}`")
@@ -395,7 +396,7 @@ def keep_one_each(docs: DataFrame, similarity: float = SIMILARITY, id_col: str =
     same = texts.join(items, "fp").where("node <> rep").select(F.col("node").alias("u"), F.col("rep").alias("v"))
     near = links(items.select("fp")).join(items.select(F.col("fp").alias("u"), F.col("rep").alias("ru")), "u")
     near = near.join(items.select(F.col("fp").alias("v"), F.col("rep").alias("rv")), "v").select(F.col("ru").alias("u"), F.col("rv").alias("v"))
-    wide = wide_links(texts.select("node", "bits", "keys", "n_shingles"), narrow.select(F.col("h").alias("node"), "t"), int((1 - similarity) * 256 + 1e-9), similarity)
+    wide = wide_links(texts.select("node", "bits", "keys", "n_shingles"), narrow.select(F.col("h").alias("node"), "t"), WIDE_BITS, similarity)
     joined = components(same.union(near).union(wide)).withColumnRenamed("node", "of")
     roots = texts.select("node", "chosen").join(joined, F.col("node") == F.col("of"), "left").select("chosen", F.coalesce("root", "node").alias("root"))
     stay = roots.groupBy("root").agg(F.min("chosen").alias("chosen")).select(F.col("chosen.id").alias("stays"), F.col("chosen.h").alias("stays_h"))

@@ -352,6 +352,24 @@ def test_repeated_phrase(spark):
     assert {r["doc_id"] for r in simhash.keep_one_each(docs).collect()} == want
 
 
+def test_similarity_at_the_threshold(spark):
+    """Pairs of 0.8 are copies however many bits differ, pairs just below aren't."""
+    rnd = random.Random(37)
+    long_words = [f"w{i}" for i in range(30000)]
+
+    def pair(n):
+        w = rnd.sample(long_words, 256 + n)
+        return " ".join(w[:256]), " ".join([*w[:100], *w[256:], *w[100 + n : 256]])
+
+    bits = lambda p: int(np.bitwise_count(simhash.wide_fingerprint(p[0])[0] ^ simhash.wide_fingerprint(p[1])[0]).sum())
+    at = [p for p in (pair(24) for _ in range(400)) if bits(p) > 51]
+    below = [p for p in (pair(25) for _ in range(60)) if bits(p) <= 51]
+    assert at and below and {_jaccard(*p) for p in at} == {0.8} and max(_jaccard(*p) for p in below) < 0.8
+    texts = [t for p in at + below for t in p]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r["doc_id"] for r in simhash.keep_one_each(docs).collect()} == set(copies_of(texts))
+
+
 @pytest.mark.parametrize("hub", [1000, 3])
 def test_components_with_hubs(spark, monkeypatch, hub):
     from chronograft.llm import components as C
