@@ -1,15 +1,23 @@
 """Main text of web pages by tree scoring.
 
-The page becomes a tree of elements. Boilerplate elements (by tag, role, class or id words, or
-because they are hidden) leave the tree with all below them. Each remaining block of text earns
-points for its length and commas, discounted by the share of its characters that are links; it
-passes them to its parent in full, to its grandparent by half and to further ancestors in falling
-parts. The ancestor with the most points is the article; an enclosing ``article`` or ``main``
-stands for it, and siblings that score well enough are kept beside it.
-
-Defined cases: null and empty pages have an empty text; tags that aren't closed end with the page;
-plain text is one block; white space of any kind becomes one space; a page without anything but
-boilerplate has an empty text. Each row is judged on its own; input columns may have any names.
+1. One pass over the page makes a tree of elements and its blocks of text. What is boilerplate by tag, by
+   role or because it is hidden leaves with all below it; a ``header`` stays inside an article or main.
+2. Names in class and id attributes only flag an element: a name counts if all of its words are boilerplate or
+   layout words and one is boilerplate (``left-sidebar``, but not ``has-sidebar``). A flagged element leaves unless it
+   holds more than ``SHARE`` of the page's points; comments and adverts leave in any case.
+3. Each block earns points for its length and commas, discounted by the share of its characters that are links.
+   They go to the container that holds it, and each element passes half of its points to its parent.
+4. The container with the most points is the article; an enclosing ``article`` or ``main`` stands for it, and
+   without one it grows to the ancestor that isn't just a wrapper around it. Beside it stay siblings that are headings,
+   paragraphs, lists, tables and the like, and containers with points of their own, unless they are mostly links.
+
+All steps take time in proportion to the page, however deep its tags nest and whatever isn't closed.
+
+Defined cases: null and empty pages have an empty text; plain text is one block; a tag without its ``>`` ends the
+page, a comment or script without its end runs to the page's end, a quote without its end is no quote; elements
+that aren't closed end with the page; white space of any kind becomes one space; of containers with equal points the
+first in page order wins; a page without anything but boilerplate has an empty text; repeated rows are read each.
+Very long pages are read whole. Input columns may have any names.
 """
 
 from __future__ import annotations
@@ -22,208 +30,322 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)"
-    r"|<(?P<raw>script|style|noscript|template|iframe|textarea|svg|math|object|title)\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)"
-    r"|<(?P<end>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>[^>\"']*(?:\"[^\"]*\"[^>\"']*|'[^']*'[^>\"']*)*)>"
-    r"|<(?P<end2>/?)(?P<tag2>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs2>[^>]*)>"
-    r"|<[!?/][^>]*>",
-    re.S | re.I,
-)
-_ATTR = re.compile(r"""(?<![\w-])(class|id|role|style|hidden|aria-hidden)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
-_WORD = re.compile(r"[a-z]+")
-
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset(
     "html body article section main nav aside header footer div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table thead tbody tfoot "
     "tr td th caption pre blockquote figure figcaption form fieldset address hr details summary center dialog menu hgroup".split()
 )
-BOILER_TAGS = frozenset("nav header footer aside form head button select option fieldset dialog menu label input audio video canvas".split())
-BOILER_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar note".split())
-#: Words of class and id attributes, compared whole.
+#: Their content isn't markup, or none that is text.
+RAW = frozenset("script style noscript template iframe textarea svg math object title".split())
+BOILER_TAGS = frozenset("nav footer aside form head button select option fieldset dialog menu label audio video canvas".split())
+BOILER_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar".split())
+#: Words that flag an element by a name of its class or id.
 BOILER_WORDS = frozenset(
-    "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr "
-    "notice notices notification alert popup modal overlay newsletter subscribe subscription signup login sidebar side rail "
-    "menu nav navbar navigation breadcrumb breadcrumbs header masthead topbar footer bottombar copyright comment comments "
-    "commentlist disqus respond reply replies discussion share sharing social related recommended recommendations widget "
-    "search form pager pagination toolbar skip".split()
+    "ad ads sponsor banner cookie cookies consent gdpr notice notices notification alert popup modal overlay newsletter subscribe "
+    "subscription signup login sidebar rail menu nav navbar navigation breadcrumb breadcrumbs header masthead topbar footer bottombar "
+    "copyright share sharing social related recommended recommendations widget search form pager pagination toolbar skip".split()
+)
+#: Those that tell a reader's comment or an advert, however long.
+STRICT_WORDS = frozenset("comment comments commentlist disqus respond reply replies discussion adv advert adverts advertisement advertising sponsored promo promotion".split())
+#: Words that say nothing beside one of the others.
+LAYOUT_WORDS = frozenset(
+    "site page left right top bottom side main box list container wrapper wrap inner outer area section block bar row col column "
+    "panel group link links item items post posts article articles story stories content primary secondary global fixed sticky "
+    "module region slot unit zone buttons icons message thread form body media the".split()
 )
-#: Of these, the ones that tell a reader's comment or an advert marked up as an article.
-ARTICLE_WORDS = frozenset("comment comments reply replies advert advertisement sponsored promo related".split())
-BONUS = {"article": 10.0, "main": 8.0, "section": 2.0, "div": 1.0, "ul": -3.0, "ol": -3.0, "li": -3.0, "table": -1.0}
+CONTAINERS = frozenset("div section article main body html td center".split())
+#: Siblings of the article that are content of their own.
+CONTENT = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl table pre blockquote figure hgroup header address details".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
+BONUS = {"article": 10.0, "main": 8.0, "section": 2.0, "div": 1.0}
+#: Share of the page's points that no boilerplate holds; share of links that no content holds; points of a container of its own.
+SHARE, LINKS, OWN = 0.8, 0.5, 2.0
 _SCOPES = frozenset("html body table td th button caption object".split())
+_STRONG_END = frozenset("html body table tr div article main section".split())
+#: What an open tag ends: (open tags, elements that shield them).
+_ENDS = {
+    "li": (("li",), ("ul", "ol")),
+    "dt": (("dt", "dd"), ("dl",)),
+    "dd": (("dt", "dd"), ("dl",)),
+    "tr": (("tr", "td", "th"), ("table",)),
+    "td": (("td", "th"), ("tr", "table")),
+    "th": (("td", "th"), ("tr", "table")),
+}
+_NAME = re.compile(r"[^\s/>\"'<]*+")
+_ATTR = re.compile(r"[\s/]*+([^\s/>=]++=?|=)")
+_EQUALS = re.compile(r"\s*+=\s*+")
+_BARE = re.compile(r"[^\s>]*+")
+_WORD = re.compile(r"[a-z]+")
+_HIDING = re.compile(r"display\s*+:\s*+none|visibility\s*+:\s*+hidden")
+_RAW_END = {t: re.compile(rf"</{t}(?=[\s/>])", re.I) for t in RAW}
+_WATCHED = frozenset("class id role style hidden aria-hidden".split())
 
 
 class _Node:
-    __slots__ = ("tag", "parent", "boiler", "score")
-
-    def __init__(self, tag: str, parent, boiler: bool):
-        self.tag, self.parent, self.boiler, self.score = tag, parent, boiler, 0.0
-
-
-def _is_boiler(tag: str, attrs: str) -> bool:
-    if tag in BOILER_TAGS:
-        return True
-    if not attrs or tag in ("html", "body"):
-        return False
-    for m in _ATTR.finditer(attrs):
-        name, value = m[1].lower(), (m[2] or "").strip("\"'").lower()
-        if name in ("class", "id"):
-            if not (ARTICLE_WORDS if tag in ("article", "main") else BOILER_WORDS).isdisjoint(_WORD.findall(value)):
-                return True
-        elif name == "role":
-            if not BOILER_ROLES.isdisjoint(value.split()):
-                return True
-        elif name == "style":
-            if re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
-                return True
-        elif name == "hidden" or value == "true":
-            return True
-    return False
+    __slots__ = ("tag", "parent", "boiler", "flag", "holder", "inline", "points", "score", "size", "links", "chosen")
+
+    def __init__(self, tag: str, parent: _Node | None, boiler: bool, flag: int):
+        self.tag, self.parent, self.boiler, self.flag = tag, parent, boiler, flag
+        self.holder: _Node = self if parent is None or tag in BLOCK else parent.holder
+        #: The outermost flagged element around text within a block.
+        self.inline: _Node | None = None if self.holder is self or parent is None else parent.inline or (self if flag else None)
+        self.points = self.score = 0.0
+        self.size = self.links = 0
+        self.chosen = False
+
+
+def _flag(names: str) -> int:
+    """2 for comments and adverts, 1 for other boilerplate, 0 for none, by names of a class or id."""
+    found = 0
+    for name in names.split():
+        words = _WORD.findall(name)
+        strict = any(w in STRICT_WORDS for w in words)
+        if (strict or any(w in BOILER_WORDS for w in words)) and all(w in STRICT_WORDS or w in BOILER_WORDS or w in LAYOUT_WORDS for w in words):
+            found = max(found, 2 if strict else 1)
+    return found
 
 
 class _Page:
-    """Blocks of text in page order, each with its element: (node, text, link characters)."""
+    """The elements in page order, parents before children, and the blocks: (element, [(text, link characters, flagged)])."""
 
     def __init__(self, html: str):
-        self.root = _Node("html", None, False)
+        self.html = html
+        self.root = _Node("html", None, False, 0)
+        self.nodes = [self.root]
         self.stack = [self.root]
-        self.blocks: list[tuple[_Node, str, int]] = []
-        self.pieces: list[str] = []
-        self.links = self.in_link = 0
-        at = 0
-        for m in _TOKEN.finditer(html):
-            self._text(html[at : m.start()])
-            at = m.end()
-            tag = m["tag"] or m["tag2"]
-            if not tag:
-                continue
-            tag = tag.lower()
-            if m["end"] or m["end2"]:
-                self._close(tag)
-            else:
-                self._open(tag, m["attrs"] or m["attrs2"] or "")
-        self._text(html[at:])
+        self.open_at: dict[str, list[int]] = {"html": [0]}
+        self.scopes = [0]
+        self.blocks: list[tuple[_Node, list[tuple[str, int, _Node | None]]]] = []
+        self.pieces: list[tuple[str, int, _Node | None]] = []
+        self.last = {c: html.rfind(c) for c in "\"'>"}
+        at, n = 0, len(html)
+        while at < n:
+            i = html.find("<", at)
+            if i < 0:
+                self._text(html[at:])
+                break
+            if i > at:
+                self._text(html[at:i])
+            at = self._markup(i)
         self._flush()
 
+    def _markup(self, i: int) -> int:
+        """Reads what begins with the ``<`` at ``i``; returns where it ends."""
+        html, n = self.html, len(self.html)
+        c = html[i + 1 : i + 2]
+        if c == "!" and html.startswith("<!--", i):
+            end = html.find("-->", i + 4)
+            return n if end < 0 else end + 3
+        if c and c in "!?" or c == "/" and not html[i + 2 : i + 3].isalpha():
+            end = html.find(">", i) if self.last[">"] > i else -1
+            return n if end < 0 else end + 1
+        if not (c == "/" or c.isalpha()):
+            self._text("<")
+            return i + 1
+        if self.last[">"] < i:
+            return n
+        if c == "/":
+            m = _NAME.match(html, i + 2)
+            self._close(m[0].lower())
+            return html.find(">", m.end()) + 1
+        m = _NAME.match(html, i + 1)
+        tag = m[0].lower()
+        end, attrs, whole = self._attributes(m.end())
+        if end < 0:
+            return n
+        if tag in RAW and not whole:
+            close = _RAW_END[tag].search(html, end)
+            if not close:
+                return n
+            gt = html.find(">", close.end()) if self.last[">"] >= close.end() else -1
+            return n if gt < 0 else gt + 1
+        self._open(tag, attrs, whole)
+        return end
+
+    def _attributes(self, at: int) -> tuple[int, dict[str, str], bool]:
+        """(end of the tag or -1, the attributes that are looked at, whether it closes itself)."""
+        html, found, whole = self.html, {}, False
+        while True:
+            m = _ATTR.match(html, at)
+            if not m:
+                end = html.find(">", at) if self.last[">"] >= at else -1
+                return (end + 1 if end >= 0 else -1), found, end > 0 and html[end - 1] == "/"
+            name, at = m[1], m.end()
+            value = ""
+            if name.endswith("=") and len(name) > 1:
+                name, has = name[:-1], True
+                while at < len(html) and html[at].isspace():
+                    at += 1
+            else:
+                e = _EQUALS.match(html, at)
+                has = e is not None
+                at = e.end() if e else at
+            if has:
+                q = html[at : at + 1]
+                if q and q in "\"'" and self.last[q] > at:
+                    end = html.find(q, at + 1)
+                    value, at = html[at + 1 : end], end + 1
+                else:
+                    b = _BARE.match(html, at)
+                    value, at = b[0].strip("\"'"), b.end()
+            name = name.lower()
+            if name in _WATCHED and name not in found:
+                found[name] = value.lower()
+
     def _text(self, raw: str) -> None:
-        if raw and not self.stack[-1].boiler:
+        if not self.stack[-1].boiler:
             text = unescape(raw) if "&" in raw else raw
-            self.pieces.append(text)
-            if self.in_link:
-                self.links += len(text.strip())
+            self.pieces.append((text, len(text.strip()) if self.open_at.get("a") else 0, self.stack[-1].inline))
 
     def _flush(self) -> None:
         if self.pieces:
-            text = " ".join("".join(self.pieces).split())
-            if text:
-                node = self.stack[-1]
-                while node.tag not in BLOCK:
-                    node = node.parent
-                self.blocks.append((node, text, self.links))
-            self.pieces, self.links = [], 0
+            self.blocks.append((self.stack[-1].holder, self.pieces))
+            self.pieces = []
+
+    def _innermost(self, tags: tuple[str, ...]) -> int:
+        """Depth of the innermost open element of ``tags``, or -1."""
+        return max((self.open_at[t][-1] for t in tags if self.open_at.get(t)), default=-1)
 
     def _pop_to(self, depth: int) -> None:
-        for node in self.stack[depth:]:
-            if node.tag == "a":
-                self.in_link -= 1
+        for node in reversed(self.stack[depth:]):
+            self.open_at[node.tag].pop()
         del self.stack[depth:]
+        while self.scopes[-1] >= depth:
+            self.scopes.pop()
 
-    def _within(self, tags: tuple[str, ...], scopes: frozenset) -> int:
-        """Depth of the innermost open element of ``tags`` that no element of ``scopes`` shields, or -1."""
-        for d in range(len(self.stack) - 1, 0, -1):
-            if self.stack[d].tag in tags:
-                return d
-            if self.stack[d].tag in scopes:
-                return -1
-        return -1
-
-    def _open(self, tag: str, attrs: str) -> None:
+    def _open(self, tag: str, attrs: dict[str, str], whole: bool) -> None:
         if tag == "br":
-            self.pieces.append(" ")
+            self.pieces.append((" ", 0, None))
             return
-        if tag in ("html", "body") and any(n.tag == tag for n in self.stack):
+        if tag in ("html", "body") and self.open_at.get(tag):
             return
         if tag in BLOCK:
             self._flush()
-            if (d := self._within(("p",), _SCOPES)) > 0:
+            if (d := self._innermost(("p",))) > self.scopes[-1]:
                 self._pop_to(d)
-            for same, scopes in ((("li",), frozenset(("ul", "ol"))), (("dt", "dd"), frozenset(("dl",))), (("tr", "td", "th"), frozenset(("table",))), (("td", "th"), frozenset(("tr", "table")))):
-                if tag in same and not (same[0] == "tr" and tag != "tr") and (d := self._within(same, scopes)) > 0:
+            if tag in _ENDS:
+                tags, shields = _ENDS[tag]
+                if (d := self._innermost(tags)) > max(0, self._innermost(shields)):
                     self._pop_to(d)
-            if tag == "body" and (d := self._within(("head",), frozenset())) > 0:
+            if tag == "body" and (d := self._innermost(("head",))) > 0:
                 self._pop_to(d)
         if tag in VOID:
             return
-        node = _Node(tag, self.stack[-1], self.stack[-1].boiler or _is_boiler(tag, attrs))
-        if not attrs.rstrip().endswith("/"):
+        parent = self.stack[-1]
+        boiler = parent.boiler or tag in BOILER_TAGS or tag == "header" and not (self.open_at.get("article") or self.open_at.get("main"))
+        flag = 0
+        if attrs and not boiler and tag not in ("html", "body"):
+            hidden = "hidden" in attrs or attrs.get("aria-hidden") == "true" or ("style" in attrs and _HIDING.search(attrs["style"]))
+            boiler = bool(hidden) or not BOILER_ROLES.isdisjoint(attrs.get("role", "").split())
+            flag = max(_flag(attrs.get("class", "")), _flag(attrs.get("id", "")))
+        node = _Node(tag, parent, boiler, flag)
+        self.nodes.append(node)
+        if not whole:
+            if tag in _SCOPES:
+                self.scopes.append(len(self.stack))
+            self.open_at.setdefault(tag, []).append(len(self.stack))
             self.stack.append(node)
-            if tag == "a":
-                self.in_link += 1
 
     def _close(self, tag: str) -> None:
         if tag == "br":
-            self.pieces.append(" ")
+            self.pieces.append((" ", 0, None))
             return
-        for d in range(len(self.stack) - 1, 0, -1):
-            if self.stack[d].tag == tag:
-                if tag in BLOCK:
-                    self._flush()
-                self._pop_to(d)
-                return
-            if self.stack[d].tag in _SCOPES and tag not in ("html", "body", "table", "tr", "div", "article", "main", "section"):
-                return
-
-
-def _chain(node: _Node) -> Iterator[_Node]:
-    while node is not None:
-        yield node
-        node = node.parent
-
-
-def _points(text: str, links: int) -> float:
-    density = min(1.0, links / len(text))
-    return (1.0 + text.count(",") + min(len(text) / 100.0, 3.0)) * (1.0 - density)
+        d = self._innermost((tag,))
+        if d <= 0 or (self.scopes[-1] > d and tag not in _STRONG_END):
+            return
+        if tag in BLOCK:
+            self._flush()
+        self._pop_to(d)
+
+
+def points(text: str, links: int) -> float:
+    """Points of a block of text."""
+    return (1.0 + text.count(",") + min(len(text) / 100.0, 3.0)) * (1.0 - min(1.0, links / len(text)))
+
+
+def _joined(pieces: list[tuple[str, int, _Node | None]]) -> tuple[str, int]:
+    """The text and the link characters of some pieces of a block."""
+    return " ".join("".join([p[0] for p in pieces]).split()), sum(p[1] for p in pieces)
+
+
+def _without_flagged(page: _Page) -> list[tuple[_Node, str, int]]:
+    """(element, text, link characters) of the blocks, without what a flagged element takes away."""
+    whole = [(node, pieces, *_joined(pieces)) for node, pieces in page.blocks]
+    total = 0.0
+    for node, pieces, text, links in whole:
+        if text:
+            node.points += (p := points(text, links))
+            total += p
+            for raw, some, flagged in pieces:
+                if flagged is not None and raw.strip():
+                    flagged.points += points(raw, some)
+    for node in reversed(page.nodes[1:]):  # children before parents
+        if node.inline is None:
+            node.parent.points += node.points
+    for node in page.nodes[1:]:
+        node.boiler = node.parent.boiler or node.flag == 2 or (node.flag == 1 and node.points <= SHARE * total)
+    out = []
+    for node, pieces, text, links in whole:
+        if any(f is not None and f.boiler for _, _, f in pieces):
+            text, links = _joined([p for p in pieces if p[2] is None or not p[2].boiler])
+        if text and not node.boiler:
+            out.append((node, text, links))
+    return out
+
+
+def _article(nodes: list[_Node]) -> _Node:
+    """The element that the article is taken from."""
+    for node in nodes:
+        if node.score > 0:
+            node.score += BONUS.get(node.tag, 0.0)
+    best = max(nodes, key=lambda n: n.score)
+    up: _Node | None = best
+    while up is not None and up.tag not in ("article", "main"):
+        up = up.parent
+    if up is not None:
+        return up
+    while best.parent is not None and best.parent.parent is not None and best.parent.size == best.size:
+        best = best.parent  # a wrapper
+    return best
 
 
 def extract(html: str | None) -> str:
     """The main text of one page."""
     if not html:
         return ""
-    blocks = _Page(html).blocks
-    seen: dict[int, _Node] = {}
-    for node, text, links in blocks:
-        points = _points(text, links)
-        own = node if node.tag in ("div", "section", "article", "main", "body", "html", "td", "center") else node.parent or node
-        for level, up in enumerate(_chain(own)):
-            if id(up) not in seen:
-                seen[id(up)] = up
-                up.score = BONUS.get(up.tag, 0.0)
-            up.score += points / (1, 2)[level] if level < 2 else points / (3 * level)
-    if not seen:
+    page = _Page(html)
+    blocks = _without_flagged(page)
+    if not blocks:
         return ""
-    best = max(seen.values(), key=lambda n: n.score)
-    for up in _chain(best):
-        if up.tag in ("article", "main"):
-            best = up
-            break
-    bar = max(10.0, 0.2 * best.score)
-    keep_of: dict[int, bool] = {}
-
-    def inside(node: _Node, text: str, links: int) -> bool:
-        for up in _chain(node):
-            if up is best:
-                return True
-            if up.parent is best.parent and up.parent is not None:
-                if up.tag == "p":  # a paragraph beside the container
-                    density = links / len(text)
-                    return (len(text) > 80 and density < 0.25) or (density == 0 and text[-1] in ".!?")
-                if id(up) not in keep_of:
-                    keep_of[id(up)] = up.score >= bar and up.tag not in ("ul", "ol", "table")
-                return keep_of[id(up)]
-        return False
-
-    return "\n".join(text for node, text, links in blocks if inside(node, text, links))
+    nodes = page.nodes
+    for node, text, links in blocks:
+        own = node if node.tag in CONTAINERS else node.parent or node
+        own.score += points(text, links)
+        node.size += len(text)
+        node.links += links
+    for node in reversed(nodes[1:]):
+        node.parent.score += node.score / 2
+        node.parent.size += node.size
+        node.parent.links += node.links
+    best = _article(nodes)
+    named = best.tag in ("article", "main")
+    best.chosen = True
+    for node in nodes[1:]:
+        if node is best:
+            continue
+        if node.parent.chosen:
+            node.chosen = True
+        elif node.parent is best.parent and node.size and node.links < LINKS * node.size:
+            if named and best.parent.tag in ("body", "html"):
+                node.chosen = node.tag not in HEADINGS and node.score >= max(10.0, 0.2 * best.score) and node.tag not in ("ul", "ol", "table")
+            else:
+                node.chosen = node.tag in CONTENT or (node.tag in CONTAINERS and node.score >= OWN)
+    out = []
+    for node, text, links in blocks:
+        beside = node is best.parent and (len(text) > 80 or text[-1] in ".!?") and links < LINKS * len(text)
+        if node.chosen or beside:
+            out.append(text)
+    return "\n".join(out)
 
 
 def _extracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
