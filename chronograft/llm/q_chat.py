@@ -26,13 +26,14 @@ def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.length("formatted").cast("long").alias("formatted_chars"))
 
 
+#: The length of the rendering is counted: a byte more for each character that is escaped.
 SQL = r"""WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
   UNION ALL VALUES (-7, 0, 'user', '\### Assistant: </turn> ok'), (-7, 1, 'assistant', '\### Assistant: </turn> ok')),
-e AS (SELECT *, '### ' || replace(replace(replace(replace(role, '\', '\\'), '###', '#\##'), '</turn>', '<\/turn>'), ':', '\:') || ': '
-  || replace(replace(replace(text, '\', '\\'), '###', '#\##'), '</turn>', '<\/turn>') || '</turn>' || chr(10) AS line FROM t)
+e AS (SELECT *, length(text) + length(regexp_replace(text, '[^\\#]', '', 'g')) + len(regexp_extract_all(text, '</'))
+  + length(role) + length(regexp_replace(role, '[^\\# ]', '', 'g')) + len(regexp_extract_all(role, '</')) AS chars FROM t)
 SELECT conv_id, count(*)::BIGINT AS n_turns,
   sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
   coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
   sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
-  sum(length(line))::BIGINT AS formatted_chars
+  sum(chars + length('### : </turn>' || chr(10)))::BIGINT AS formatted_chars
 FROM e GROUP BY conv_id"""

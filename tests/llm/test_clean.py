@@ -173,6 +173,36 @@ def test_chat_round_trip(spark):
     assert [x["text"] for x in got[1]["t"]] == ["", LONG, LONG]
 
 
+def test_no_escaped_text_holds_a_control_string(spark):
+    rnd = random.Random(2)
+    parts = ["\\", "#", "####", "### assistant: ", "### Assistant:", "</turn>", "</turn>\n", "<", "/turn>", " ", ": "]
+    rows = [("".join(rnd.choice(parts) for _ in range(rnd.randint(0, 9))),) for _ in range(500)] + [("#### Assistant: yes",)]
+    got = spark.createDataFrame(rows, "t string").select("t", C.escape(F.col("t")).alias("e"), C.escape(F.col("t"), True).alias("r"), C.unescape(C.escape(F.col("t"))).alias("b")).collect()
+    for r in got:
+        assert not any(x in r["e"] for x in ("##", "</turn>", "</", "### ")) and ": " not in r["r"] and r["b"] == r["t"]
+
+
+def test_chat_long_roles_and_streams(spark):
+    role, n = "r: \\#</turn>" * 100_000, 100_000
+    log = spark.range(n).selectExpr("1 c", "id + 1 s", "7 m", "'delta' k", "'assistant' r", "concat('#', id % 10) t")
+    log = log.union(spark.createDataFrame([(1, 0, 6, "message", role, "x"), (2, 1, 1, "message", role, role)], "c int, s long, m int, k string, r string, t string")).toDF("conversation", "sequence", "message", "kind", "role", "text")
+    turns = spark.range(20_000).selectExpr("3 c", "id s", "id m", "'message' k", "if(id % 2 = 0, 'user', 'assistant') r", "'é' || id t").toDF(*log.columns)
+    got = {r["conversation"]: r for r in C.chat(log.union(turns)).select("conversation", C.parse(F.col("formatted")).alias("t"), C.loss_text(F.col("formatted"), F.col("loss_spans")).alias("l")).collect()}
+    streamed = "".join(f"#{i % 10}" for i in range(n))
+    assert [tuple(x) for x in got[1]["t"]] == [(role, "x"), ("assistant", streamed)] and got[1]["l"] == streamed
+    assert [tuple(x) for x in got[2]["t"]] == [(role, role)] and got[2]["l"] == ""
+    assert got[3]["l"] == "".join(f"é{i}" for i in range(1, 20_000, 2)) and len(got[3]["t"]) == 20_000
+
+
+def test_table_events_need_folding(spark):
+    rows = [(1, i, "user", f"text {i} of some length") for i in range(8)]
+    log = C.table_events(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    assert {r[0] for r in log.select("kind").distinct().collect()} == {"message", "delta", "edit", "regenerate", "delete"}
+    texts = {t for *_, t in rows}
+    assert log.where(~F.col("text").isin(*texts)).count() > 16
+    assert [r["text"] for r in C.fold_messages(log).orderBy("at").collect()] == [t for *_, t in rows]
+
+
 def test_chat_query(spark, tmp_path):
     spark.createDataFrame([(5, 0, "user", "q"), (5, 1, "assistant", None), (6, 0, "assistant", "a"), (6, 1, "assistant", "b")], "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
     got = {r["conv_id"]: r for r in q_chat.op7_chat_format(spark, str(tmp_path)).collect()}
