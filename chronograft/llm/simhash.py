@@ -9,8 +9,8 @@ join. How links are found:
    so they agree in the other three. Each of the 20 choices of three blocks is one equi-key of
    about 32 bits, and linked items share at least one key. None is lost.
 3. A bucket of more than ``BUCKET`` items is refined instead of being gathered: its free bits are
-   cut into six blocks again, by the same argument, which leaves about 16 bits free and so at most
-   about 65,000 items. A hot key is thus dealt over 20 further keys and stays bounded.
+   cut into six blocks again, by the same argument, and once more if that isn't enough. About 16 and then 8 bits are
+   left free, and since items differ, a bucket then has a few hundred items at most, however dense they lie.
 4. Pivot tables. Inside a bucket, Hamming distances to 32 reference fingerprints are computed once an item.
    By the triangle inequality a linked pair's distances to any reference differ by at most
    ``max_bits``; pairs whose maximum coordinate difference is larger are discarded, and the
@@ -22,7 +22,9 @@ an equi-join could use, which is why step 2 comes first: it keeps the pairs to b
 
 Defined cases: a text without words (null, empty, blank) has fingerprint 0, which links like any
 other; fewer words than a shingle make one shingle; repeated rows are copies; a null id is kept and
-never chosen as the component id unless its group has no other; an empty table gives an empty one.
+never chosen as the component id unless its group has no other; an exact half of a bit's hashes leaves it unset; a
+text of any length is read whole, its hashes counted in parts; an empty table gives an empty one. Only the id and the
+text are read, so other columns may have any names.
 """
 
 from __future__ import annotations
@@ -32,25 +34,21 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chronograft.llm.components import components
-from chronograft.llm.text import packed, unpacked
+from chronograft.llm.text import meet
 from chronograft.storage import keep
 
 SHINGLE, SEED, MAX_BITS = 3, 42, 3
 BUCKET = 2048
-#: For copies of similarity 0.8 or more: five-word shingles, 256 bits, eight keys. At 0.8 about 38 bits differ
-#: (sd 6), so that the bits only choose candidates: WIDE_BITS is seven deviations above. The shingles of a task's
-#: texts whose sets are compared are about 2 * SHINGLES at most.
-WIDE_SHINGLE, WIDE_KEYS, WIDE_BITS, SIMILARITY, SHINGLES = 5, 8, 80, 0.8, 1 << 21
 N_PIVOTS = 32
 
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
-def _shingle_hashes(text: str | None, shingle: int) -> np.ndarray:
+def shingle_hashes(text: str | None, shingle: int) -> np.ndarray:
     """The hashes of a text's shingles in order, u64."""
     import xxhash
 
@@ -70,7 +68,7 @@ def _shingle_hashes(text: str | None, shingle: int) -> np.ndarray:
 
 def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     """The 64-bit fingerprint of one text, unsigned."""
-    hashes = _shingle_hashes(text, shingle)
+    hashes = shingle_hashes(text, shingle)
     total = np.zeros(64, np.int64)
     for at in range(0, len(hashes), 8192):  # bounded memory for very long texts
         bits = np.unpackbits(hashes[at : at + 8192].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
@@ -175,18 +173,30 @@ def _keyed(items: DataFrame, masks: list[tuple[int, int]]) -> DataFrame:
     return items.select("fp", F.explode(keys).alias("k")).select("k.t", "k.key", "fp")
 
 
+def _refinements() -> list[list[tuple[int, int, int]]]:
+    """For each level of refinement, (bucket kind, finer kind, mask of the bits that agree), constants."""
+    kinds = [(t, agreed, free) for t, (agreed, free) in enumerate(choices(list(range(64))))]
+    out = []
+    for _ in range(2):
+        start = kinds[-1][0] + 1
+        finer = [(t, start + 20 * i + c, agreed + more, left) for i, (t, agreed, free) in enumerate(kinds) for c, (more, left) in enumerate(choices(free))]
+        out.append([(t, t2, _signed(bits)) for t, t2, bits, _ in finer])
+        kinds = [(t2, bits, left) for _, t2, bits, left in finer]
+    return out
+
+
 def links(items: DataFrame, bucket: int = BUCKET) -> DataFrame:
     """(u, v): a spanning forest of every bucket's links between the distinct fingerprints ``fp``."""
-    first = choices(list(range(64)))
-    members = _members(_keyed(items, [(t, _signed(agreed)) for t, (agreed, _) in enumerate(first)]))
-    hot = members.where(F.col("n") > bucket)
-    finer = []
-    for t, (agreed, free) in enumerate(first):
-        masks = [(20 * (t + 1) + c, _signed(agreed + more)) for c, (more, _) in enumerate(choices(free))]
-        finer.append(F.array(*[F.struct(F.lit(t2).alias("t"), F.lit(mask).alias("mask")) for t2, mask in masks]))
-    refined = hot.select("fp", F.explode(F.element_at(F.array(*finer), F.col("t") + 1)).alias("k"))
-    refined = refined.select("k.t", F.col("fp").bitwiseAND(F.col("k.mask")).alias("key"), "fp")
-    buckets = members.where(F.col("n") <= bucket).select("t", "key", "fp").union(_members(refined).select("t", "key", "fp"))
+    spark = items.sparkSession
+    members = _members(_keyed(items, [(t, _signed(agreed)) for t, (agreed, _) in enumerate(choices(list(range(64))))]))
+    buckets = members.where(F.col("n") <= bucket).select("t", "key", "fp")
+    for level in _refinements():
+        # 400 and 8,000 rows
+        finer = F.broadcast(spark.createDataFrame(level, "t int, t2 int, mask long"))
+        refined = members.where(F.col("n") > bucket).join(finer, "t")
+        members = _members(refined.select(F.col("t2").alias("t"), F.col("fp").bitwiseAND(F.col("mask")).alias("key"), "fp"))
+        last = level[0][1] > 400
+        buckets = buckets.union((members if last else members.where(F.col("n") <= bucket)).select("t", "key", "fp"))
     return buckets.groupBy("t", "key").agg(F.collect_list("fp").alias("fps")).select("fps").mapInArrow(_linked, "u long, v long")
 
 
@@ -194,212 +204,16 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, Da
     """(rows with id, h and fp; fp with its group's first row ``chosen`` by id, then text hash)."""
     prints = keep(with_fingerprints(docs, id_col, text_col), "prints")
     first = F.min(F.struct(F.col("id").isNull().alias("nameless"), "id", "h"))
-    items = prints.groupBy("fp").agg(first.alias("chosen"))
+    items = keep(prints.groupBy("fp").agg(first.alias("chosen"), F.count("*").alias("n")), "prints-distinct")
     joined = components(links(items.select("fp")))
-    roots = items.join(joined, items["fp"] == joined["node"], "left").select("fp", "chosen", F.coalesce("root", "fp").alias("root"))
+    roots = items.join(joined, items["fp"] == joined["node"], "left").select("fp", "n", "chosen", F.coalesce("root", "fp").alias("root"))
     groups = roots.groupBy("root").agg(F.min("chosen").alias("chosen"))
-    return prints, roots.select("fp", "root").join(groups, "root").select(F.col("fp").alias("of"), "chosen")
+    return prints, roots.select("fp", "n", "root").join(groups, "root").select("fp", "n", "chosen")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, fp, component_id) of each input row."""
     prints, groups = _grouped(docs, id_col, text_col)
-    out = prints.join(groups, prints["fp"] == groups["of"])
+    # empty texts and copies all have one fingerprint
+    out = meet(prints, keep(groups, "groups"), "fp", prints.count())
     return out.select(F.col("id").alias(id_col), "fp", F.col("chosen.id").alias("component_id"))
-
-
-def _spread(h: np.ndarray, n: int) -> np.ndarray:
-    """``n`` further hashes of each hash, one a row."""
-    with np.errstate(over="ignore"):
-        z = h[None, :] + pivots(n)[:, None]
-        z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-        z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-        return z ^ (z >> np.uint64(31))
-
-
-def shingle_set(text: str | None) -> np.ndarray:
-    """The distinct hashes of a text's WIDE_SHINGLE-word shingles, sorted."""
-    return np.unique(_shingle_hashes(text, WIDE_SHINGLE))
-
-
-def wide_fingerprint(text: str | None) -> tuple[np.ndarray, np.ndarray, int]:
-    """(256 bits as four words, WIDE_KEYS least hashes, number) of a text's distinct WIDE_SHINGLE-word shingles.
-
-    Each distinct shingle votes once, so a phrase that a text repeats counts for no more than another. Two
-    texts share a given least hash with a probability of their Jaccard similarity. Texts without words have no keys.
-    """
-    hashes = shingle_set(text)
-    if not len(hashes):
-        return np.zeros(4, np.uint64), hashes, 0
-    total, least = np.zeros(256, np.int64), np.full(WIDE_KEYS, np.iinfo(np.uint64).max, np.uint64)
-    for at in range(0, len(hashes), 4096):
-        some = _spread(hashes[at : at + 4096], 4 + WIDE_KEYS)
-        bits = np.unpackbits(np.ascontiguousarray(some[:4].T).view(np.uint8), axis=1, bitorder="little")
-        total += bits.sum(0, dtype=np.int32)
-        least = np.minimum(least, some[4:].min(1))
-    return np.packbits(2 * total > len(hashes), bitorder="little").view("<u8"), least, len(hashes)
-
-
-def _both_fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        texts = b.column(0).to_pylist()
-        prints = np.array([fingerprint(t) for t in texts], dtype=np.uint64).view(np.int64)
-        wide = [wide_fingerprint(t) for t in texts]
-        bits, keys = (pa.array([w[k].view(np.int64) for w in wide], pa.list_(pa.int64())) for k in (0, 1))
-        n = pa.array([w[2] for w in wide], pa.int64())
-        yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array(prints), bits, keys, n], names=[*b.schema.names[1:], "fp", "bits", "keys", "n_shingles"])
-
-
-def _close(bits: np.ndarray, i: int, max_bits: int) -> np.ndarray:
-    """The places after ``i`` whose bits are within ``max_bits`` of its own."""
-    return np.flatnonzero(np.bitwise_count(bits[i + 1 :] ^ bits[i]).sum(1, dtype=np.int32) <= max_bits) + i + 1
-
-
-def candidates(bits: np.ndarray, keys: np.ndarray, t: int, max_bits: int) -> np.ndarray:
-    """Which members of a bucket of key ``t`` are within ``max_bits`` of another that shares no earlier key with them."""
-    out = np.zeros(len(bits), bool)
-    for i in range(len(bits) - 1):
-        near = _close(bits, i, max_bits)
-        near = near[~(keys[near, :t] == keys[i, :t]).any(1)]
-        out[near] = True
-        out[i] |= len(near) > 0
-    return out
-
-
-def wide_forest(nodes: np.ndarray, bits: np.ndarray, sets: list[np.ndarray], max_bits: int, similarity: float) -> tuple[np.ndarray, np.ndarray]:
-    """(node, first node of its group) for the nodes that a link joins to another.
-
-    A link is a pair within ``max_bits`` whose sets of shingles have a Jaccard similarity of ``similarity`` or more.
-    """
-    order = np.argsort(nodes, kind="stable")
-    nodes, bits, sets = nodes[order], bits[order], [sets[i] for i in order.tolist()]
-    n = len(nodes)
-    sizes = np.array([len(x) for x in sets])
-    ends = np.cumsum(sizes)
-    values, places = np.unique(np.concatenate(sets), return_inverse=True)
-    places = np.split(places, ends[:-1])
-    held = np.zeros(len(values), bool)
-    root = np.arange(n)
-
-    def find(i: int) -> int:
-        while root[i] != i:
-            root[i] = root[root[i]]
-            i = root[i]
-        return i
-
-    for i in range(n - 1):
-        near = _close(bits, i, max_bits)
-        if not len(near):
-            continue
-        held[places[i]] = True
-        for j in near.tolist():
-            a, b = find(i), find(j)
-            if a != b:
-                both = int(held[places[j]].sum())
-                if both >= similarity * int(sizes[i] + sizes[j] - both) - 1e-9:
-                    root[max(a, b)] = min(a, b)
-        held[places[i]] = False
-    least = np.array([find(i) for i in range(n)])
-    moved = least != np.arange(n)
-    return nodes[moved], nodes[least[moved]]
-
-
-def _words_of(column: pa.Array, n: int) -> np.ndarray:
-    """An array column's values, u64, ``n`` a row."""
-    return column.flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(-1, n)
-
-
-def _wide_candidates(max_bits: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            ts, keys, nodes = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-            for t, key, members in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
-                values = members.values
-                some = candidates(_words_of(values.field("bits"), 4), _words_of(values.field("keys"), WIDE_KEYS), t, max_bits)
-                nodes.append(values.field("node").to_numpy(zero_copy_only=False)[some])
-                ts.append(np.full(len(nodes[-1]), t, np.int32))
-                keys.append(np.full(len(nodes[-1]), key, np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (ts, keys, nodes)], names=["t", "key", "node"])
-
-    return run
-
-
-def _wide_linked(max_bits: int, similarity: float):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            us, vs = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-            for members in b.column(0):
-                values = members.values
-                nodes = values.field("node").to_numpy(zero_copy_only=False)
-                sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in values.field("shingles")]
-                u, v = wide_forest(nodes, _words_of(values.field("bits"), 4), sets, max_bits, similarity)
-                us.append(u)
-                vs.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(us)), pa.array(np.concatenate(vs))], names=["u", "v"])
-
-    return run
-
-
-def _shingle_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        sets = pa.array([shingle_set(t).tobytes() for t in b.column(1).to_pylist()], pa.binary())
-        yield pa.RecordBatch.from_arrays([b.column(0), sets], names=["node", "shingles"])
-
-
-def _chunks(members: DataFrame, weight: Column, most: int) -> DataFrame:
-    """(t, key, n, chunks) of the keys of two members or more: into how many chunks of a weight of ``most`` each is dealt."""
-    return members.groupBy("t", "key").agg(F.count("*").alias("n"), F.ceil(F.sum(weight) / most).cast("int").alias("chunks")).where("n > 1")
-
-
-def _compared(members: DataFrame, *carried: str) -> DataFrame:
-    """(t, key, m): these columns of the members of each (t, key), a row for each pair of its chunks, which is a task's work."""
-    mine = F.pmod(F.xxhash64("node", "key"), F.col("chunks")).cast("int")
-    pairs = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda j: F.struct(F.least(mine, j).alias("i"), F.greatest(mine, j).alias("j")))
-    dealt = members.select("t", "key", *carried, F.explode(pairs).alias("c"))
-    return dealt.groupBy("t", "key", "c").agg(F.collect_list(F.struct(*carried)).alias("m")).where(F.size("m") > 1).select("t", "key", "m")
-
-
-def wide_links(texts: DataFrame, rows: DataFrame, max_bits: int, similarity: float, bucket: int = BUCKET) -> DataFrame:
-    """(u, v) over texts (node, bits, keys, n_shingles): forests of the links among texts that share a key.
-
-    Bits choose the candidates, and sets of shingles, made from ``rows`` (node, t), decide. A pair is looked at
-    under the first key it shares only, so that few sets are dealt more than once.
-    """
-    keyed = texts.select("node", "bits", "keys", F.posexplode("keys").alias("t", "key"))
-    shared = keyed.join(_chunks(keyed, F.lit(1), bucket), ["t", "key"])
-    found = _compared(shared, "node", "bits", "keys").mapInArrow(_wide_candidates(max_bits), "t int, key long, node long")
-    found = keep(found.distinct().join(texts.select("node", "bits", "n_shingles"), "node"), "candidates")
-    wanted = rows.groupBy("node").agg(F.first("t").alias("text")).join(found.select("node"), "node", "left_semi")
-    sets = wanted.mapInArrow(_shingle_sets, "node long, shingles binary")
-    members = found.join(_chunks(found, F.col("n_shingles"), SHINGLES), ["t", "key"]).join(sets, "node")
-    return _compared(members, "node", "bits", "shingles").select("m").mapInArrow(_wide_linked(max_bits, similarity), "u long, v long")
-
-
-def keep_one_each(docs: DataFrame, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The input rows, with all columns, of which one row of each group of near copies stays.
-
-    Texts are near copies if op 1's fingerprints link them, or if their sets of five-word shingles have a
-    Jaccard similarity of ``similarity`` or more. The sets are compared where texts have one of eight least
-    shingle hashes in common and differ in 80 of 256 bits or fewer. (At a Jaccard similarity of 0.8, 38
-    bits differ on average, with a deviation of 6, and a common key lacks in three cases of a million.)
-    The row with the group's least id stays, rows without an id coming
-    last, and then the least text hash. Rows that are equal in both are interchangeable.
-    """
-    text = F.col(f"`{text_col}`")
-    narrow = docs.select(text.cast("string").alias("t"), F.col(f"`{id_col}`").alias("id"), F.xxhash64(text).alias("h"))
-    kind = narrow.schema["id"].dataType.simpleString()
-    prints = keep(narrow.mapInArrow(_both_fingerprints, f"id {kind}, h long, fp long, bits array<long>, keys array<long>, n_shingles long"), "prints")
-    first = F.min(F.struct(F.col("id").isNull().alias("nameless"), "id", "h"))
-    texts = prints.groupBy("h").agg(F.first("fp").alias("fp"), F.first("bits").alias("bits"), F.first("keys").alias("keys"), F.first("n_shingles").alias("n_shingles"), first.alias("chosen"))
-    texts = keep(texts.withColumnRenamed("h", "node"), "texts")
-    items = texts.groupBy("fp").agg(F.min("node").alias("rep"))
-    same = texts.join(items, "fp").where("node <> rep").select(F.col("node").alias("u"), F.col("rep").alias("v"))
-    near = links(items.select("fp")).join(items.select(F.col("fp").alias("u"), F.col("rep").alias("ru")), "u")
-    near = near.join(items.select(F.col("fp").alias("v"), F.col("rep").alias("rv")), "v").select(F.col("ru").alias("u"), F.col("rv").alias("v"))
-    wide = wide_links(texts.select("node", "bits", "keys", "n_shingles"), narrow.select(F.col("h").alias("node"), "t"), WIDE_BITS, similarity)
-    joined = components(same.union(near).union(wide)).withColumnRenamed("node", "of")
-    roots = texts.select("node", "chosen").join(joined, F.col("node") == F.col("of"), "left").select("chosen", F.coalesce("root", "node").alias("root"))
-    stay = roots.groupBy("root").agg(F.min("chosen").alias("chosen")).select(F.col("chosen.id").alias("stays"), F.col("chosen.h").alias("stays_h"))
-    rows = packed(docs, F.col(f"`{id_col}`").alias("id"), F.xxhash64(F.col(f"`{text_col}`")).alias("h"))
-    kept = rows.join(stay, F.col("id").eqNullSafe(F.col("stays")) & (F.col("h") == F.col("stays_h")), "left_semi")
-    return unpacked(kept.groupBy("id", "h").agg(F.first("doc").alias("doc")), docs.schema)

@@ -132,3 +132,22 @@ def secrets(text):
     found += [(m.start(), 1, m.end()) for m in re.finditer(r"AKIA[A-Z0-9]+", t) if len(m[0]) >= 20]
     found += [(m.start(), 2, m.end()) for m in re.finditer(r"[0-9a-f]+", t) if len(m[0]) >= 24]
     return sorted(found)
+
+
+def near_copies(a, b, similarity=0.8):
+    """Whether two texts are alike, word by word: by their sets of five-word shingles or by the words these cover."""
+    cut, words = [], []
+    for t in (a, b):
+        w = WORD.findall((t or "").translate(FOLD))
+        cut.append([tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))] if w else [])
+    x, y = map(set, cut)
+    if not x or not y:
+        return x == y
+    if len(x & y) >= similarity * len(x | y):
+        return True
+    for grams in cut:
+        first = {g: i for i, g in reversed(list(enumerate(grams)))}
+        every = {i + k for i in first.values() for k in range(5)}
+        held = {first[g] + k for g in x & y for k in range(5)}
+        words.append(len(held) >= similarity * len(every))
+    return all(words)

@@ -6,10 +6,10 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pytest
-from brute import contamination, failed, fingerprint, groups, mix, quality, repeats
+from brute import contamination, failed, fingerprint, groups, mix, near_copies, quality, repeats
 from test_clean import LONG, ODD, frame
 
-from chronograft.llm import mixing, q_simhash, q_substrings, q_tokens, simhash, substrings, suffix, tokens
+from chronograft.llm import copies, mixing, q_simhash, q_substrings, q_tokens, simhash, substrings, suffix, tokens
 from chronograft.llm.components import components
 from pyspark.sql import functions as F
 
@@ -27,15 +27,12 @@ def edited(rnd, text, n):
     return " ".join(w)
 
 
-def near_groups(texts):
-    """Index of the first member of each text's group, by all pairs of texts."""
-    fps, wide = [fingerprint(t) for t in texts], [simhash.wide_fingerprint(t) for t in texts]
+def copies_of(texts):
+    """Index of the first member of each text's group of near copies, by all pairs of texts."""
     group = list(range(len(texts)))
     for i in range(len(texts)):
         for j in range(i):
-            bits = int(np.bitwise_count(wide[i][0] ^ wide[j][0]).sum())
-            shared = len(wide[i][1]) and len(wide[j][1]) and (wide[i][1] == wide[j][1]).any()
-            if (fps[i] ^ fps[j]).bit_count() <= 3 or shared and bits <= 51:
+            if group[i] != group[j] and near_copies(texts[i], texts[j]):
                 a, b = group[i], group[j]
                 group = [min(a, b) if g in (a, b) else g for g in group]
     return group
@@ -100,12 +97,12 @@ def test_simhash_query(spark, tmp_path):
     least = {g: min((r["doc_id"] for r, x in zip(rows, group, strict=True) if x == g and r["doc_id"] is not None), default=None) for g in group}
     want = sorted(map(str, ((r["doc_id"], format(f, "016x"), least[g]) for r, f, g in zip(rows, fps, group, strict=True))))
     assert sorted(map(str, map(tuple, got))) == want
-    kept = simhash.keep_one_each(docs)
-    group = near_groups([r["text"] for r in rows])
+    kept = copies.keep_one_each(docs)
+    group = copies_of([r["text"] for r in rows])
     least = {g: min((r["doc_id"] for r, x in zip(rows, group, strict=True) if x == g and r["doc_id"] is not None), default=None) for g in group}
     assert kept.columns == docs.columns and kept.count() == len(set(group))
     assert {r["doc_id"] for r in kept.collect()} == set(least.values())
-    assert simhash.near_duplicates(docs.limit(0)).count() == 0 and simhash.keep_one_each(docs.limit(0)).count() == 0
+    assert simhash.near_duplicates(docs.limit(0)).count() == 0 and copies.keep_one_each(docs.limit(0)).count() == 0
 
 
 def test_chain_component(spark):
@@ -278,7 +275,7 @@ def test_pipeline(spark, tmp_path):
     spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
 
     left = sorted(r for r in rows if failed(quality(r[1])) == 0)
-    group = near_groups([r[1] for r in left])
+    group = copies_of([r[1] for r in left])
     left = [r for i, r in enumerate(left) if group[i] == i]
     left = [r for r in left if not contamination(r[1], items)[2]]
     *_, copies = mix([(r[0], r[3], r[1]) for r in left])
@@ -299,75 +296,83 @@ def test_pipeline(spark, tmp_path):
 
 def test_clashing_columns_pass_through(spark):
     docs = frame(spark, ODD)
-    for f in (simhash.keep_one_each, mixing.mix):
+    for f in (copies.keep_one_each, mixing.mix):
         assert f(docs).columns == docs.columns
 
 
-def _jaccard(a, b):
-    cut = lambda t: {tuple(w[i : i + 5]) for w in [t.split()] for i in range(max(1, len(w) - 4))}
-    a, b = cut(a), cut(b)
-    return len(a & b) / len(a | b)
-
-
-@pytest.mark.parametrize("bucket", [2048, 10])
-def test_similar_texts_are_linked(spark, monkeypatch, bucket):
-    """Copies of Jaccard similarity 0.85 and more are found, texts that share a passage stay apart."""
-    monkeypatch.setattr(simhash.wide_links, "__defaults__", (bucket,))
+@pytest.mark.parametrize("bucket,shingles", [(2048, 1 << 21), (10, 3000)])
+def test_edited_copies_are_found(spark, monkeypatch, bucket, shingles):
+    """All pairs by brute force: exact finds every group, buckets nearly all, and neither joins what isn't alike."""
+    monkeypatch.setattr(copies.links, "__defaults__", (*copies.links.__defaults__[:2], bucket, False))
+    monkeypatch.setattr(copies, "SHINGLES", shingles)
     rnd = random.Random(21)
     long_words = [f"w{i}" for i in range(3000)]
     say = lambda n: " ".join(rnd.choice(long_words) for _ in range(n))
-    base = [say(260) for _ in range(25)]
+    base = [say(rnd.choice((60, 150, 400))) for _ in range(25)]
     passage = say(60)
-    copies = [(i, edited(rnd, b, 3)) for i, b in enumerate(base) for _ in range(2)]
+    changed = [" ".join(rnd.choice(long_words) if rnd.random() < rate else w for w in b.split(" ")) for b in base for rate in (0.01, 0.03, 0.06, 0.09, 0.12, 0.3)]
     apart = [say(60) + " " + passage + " " + say(60) for _ in range(30)]
-    texts = base + [t for _, t in copies] + apart + base[:3]
+    texts = [*base, *changed, *apart, *base[:3], None, ""]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    kept = {r["doc_id"] for r in simhash.keep_one_each(docs).collect()}
-    n = len(base) + len(copies)
-    assert set(range(len(base))) <= kept and set(range(n, n + len(apart))) <= kept and not kept & set(range(n + len(apart), len(texts)))
-    similar = [j + len(base) for j, (i, t) in enumerate(copies) if _jaccard(base[i], t) >= 0.85]
-    assert len(similar) > 30 and not kept & set(similar)
-
-
-def copies_of(texts):
-    """Index of the first member of each text's group: op 1's links, and Jaccard similarities of 0.8 and more, by all pairs of texts."""
-    fps, group = [fingerprint(t) for t in texts], list(range(len(texts)))
-    for i in range(len(texts)):
-        for j in range(i):
-            if (fps[i] ^ fps[j]).bit_count() <= 3 or _jaccard(texts[i], texts[j]) >= 0.8:
-                a, b = group[i], group[j]
-                group = [min(a, b) if g in (a, b) else g for g in group]
-    return group
+    want = set(copies_of(texts))
+    assert len(texts) - len(want) > 100 and set(range(len(base) + len(changed), len(base) + len(changed) + 30)) <= want
+    assert {r["doc_id"] for r in copies.keep_one_each(docs, exact=True).collect()} == want
+    kept = {r["doc_id"] for r in copies.keep_one_each(docs).collect()}
+    assert kept >= want and len(texts) - len(kept) > 0.95 * (len(texts) - len(want))
 
 
 def test_repeated_phrase(spark):
-    """Beside op 1's links, texts that repeat the same line beside words of their own stay apart."""
+    """Texts that repeat the same line beside words of their own stay apart."""
     rnd = random.Random(31)
     line = " ".join(f"line{i}" for i in range(12))
-    own = [[f"w{d}x{i}" for i in range(324)] for d in range(60)]
-    texts = [" ".join([*w[:160], *[line] * 15, *w[160:]]) for w in own]
+    own = [[f"w{d}x{i}" for i in range(n)] for d in range(60) for n in (324, 40)]
+    texts = [" ".join([*w[: len(w) // 2], *[line] * 15, *w[len(w) // 2 :]]) for w in own]
     texts += [edited(rnd, t, 2) for t in texts[:3]]
-    want = set(copies_of(texts))
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    assert {r["doc_id"] for r in simhash.keep_one_each(docs).collect()} == want
+    assert {r["doc_id"] for r in copies.keep_one_each(docs).collect()} == set(copies_of(texts)) == set(range(120))
 
 
-def test_similarity_at_the_threshold(spark):
-    """Pairs of 0.8 are copies however many bits differ, pairs just below aren't."""
+def test_similarity_at_the_threshold():
+    """Jaccard similarities of 0.8, and shares of words of 0.8, to the word."""
     rnd = random.Random(37)
-    long_words = [f"w{i}" for i in range(30000)]
+    words = rnd.sample([f"w{i}" for i in range(30000)], 700)
 
-    def pair(n):
-        w = rnd.sample(long_words, 256 + n)
-        return " ".join(w[:256]), " ".join([*w[:100], *w[256:], *w[100 + n : 256]])
+    def alike(*texts):
+        return copies.Shingled([copies.shingle_hashes(t, 5) for t in texts]).alike(0, 1, 0.8)
 
-    bits = lambda p: int(np.bitwise_count(simhash.wide_fingerprint(p[0])[0] ^ simhash.wide_fingerprint(p[1])[0]).sum())
-    at = [p for p in (pair(24) for _ in range(400)) if bits(p) > 51]
-    below = [p for p in (pair(25) for _ in range(60)) if bits(p) <= 51]
-    assert at and below and {_jaccard(*p) for p in at} == {0.8} and max(_jaccard(*p) for p in below) < 0.8
-    texts = [t for p in at + below for t in p]
-    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    assert {r["doc_id"] for r in simhash.keep_one_each(docs).collect()} == set(copies_of(texts))
+    def block(n, m):
+        """``m`` words put into a text of ``n``."""
+        return " ".join(words[:n]), " ".join([*words[:100], *words[n : n + m], *words[100:n]])
+
+    def changed(n):
+        """Every tenth word changed, in a text of 300, and the last ``n`` words."""
+        w = [words[300 + i] if i % 10 == 0 else words[i] for i in range(300 - n)] + words[400 : 400 + n]
+        return " ".join(words[:300]), " ".join(w)
+
+    for pair in [block(256, 24), block(256, 64), block(256, 65), changed(0), changed(30), changed(36), changed(40), changed(60)]:
+        assert alike(*pair) == alike(*pair[::-1]) == near_copies(*pair)
+    assert near_copies(*block(256, 24)) and near_copies(*changed(0)) and not near_copies(*block(256, 80)) and not near_copies(*changed(60))
+
+
+@pytest.mark.parametrize("max_bits", [3, 40, 80])
+def test_pivot_tables_lose_no_pair(max_bits):
+    rnd = np.random.default_rng(max_bits)
+    base = rnd.integers(0, 1 << 63, (12, 4), dtype=np.uint64)
+    noise = (rnd.random((400, 256)) < rnd.choice([0, 0.01, 0.1, 0.2], 400)[:, None]).astype(np.uint8)
+    bits = base[rnd.integers(0, 12, 400)] ^ np.packbits(noise, axis=1, bitorder="little").view("<u8")
+    got = {(int(a), int(b)) for i, j in copies.near_pairs(bits, max_bits) for a, b in zip(i, j, strict=True)}
+    far = np.bitwise_count(bits[:, None] ^ bits[None]).sum(2)
+    assert got == {(i, j) for i in range(400) for j in range(i + 1, 400) if far[i, j] <= max_bits} and got
+
+
+def test_dense_buckets_are_fast():
+    import time
+
+    rnd = np.random.default_rng(1)
+    bits = np.repeat(rnd.integers(0, 1 << 63, (1, 4), dtype=np.uint64), 2048, axis=0)
+    began = time.process_time()
+    assert copies.candidates(bits, np.zeros((2048, copies.KEYS), np.uint64), 0, 80).all()
+    assert time.process_time() - began < 4
 
 
 @pytest.mark.parametrize("hub", [1000, 3])
