@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from chronograft.llm import decontaminate, mixing, q_quality, q_tokens, quality, simhash
+from chronograft.llm import copies, decontaminate, mixing, q_quality, q_tokens, quality
 from chronograft.storage import keep
 
 
@@ -19,7 +19,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays, the one with the least id."""
-    return simhash.keep_one_each(docs)
+    return copies.keep_one_each(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
