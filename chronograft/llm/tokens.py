@@ -15,11 +15,15 @@ task writes to a name of its own attempt and renames at its end: a lost or repea
 one whole shard. The manifest has a row for each shard.
 
 Defined cases: null text is empty; every document ends with ``end_id``, so an empty one has just
-that; null ids come first; repeated rows are written each; an empty table gives no shard.
+that; null ids come first, ties in id are ordered by the text's hash; repeated rows are written each; an empty table
+gives no shard. A text is encoded whole, however long, so a task holds its ids at once; the shard takes
+them a block at a time. The manifest, a row a shard, is summed up in one task. Only the id and the text are read, so
+other columns may have any names. An end id that needs more bits than the vocabulary is refused.
 """
 
 from __future__ import annotations
 
+import json
 import struct
 from collections.abc import Callable, Iterator
 
@@ -77,21 +81,67 @@ class _Memory(dict):
         return ids
 
 
+#: The text rules of the tokenizer files whose ids may be looked up by piece.
+_NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+_WORDS = {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}
+
+
+def cuts_at_spaces(tokenizer) -> bool:
+    """Whether a tokenizer lowers its text and cuts it at white space, which it drops, by the rules above."""
+    rules = json.loads(tokenizer.to_str())
+    before = rules["pre_tokenizer"] or {}
+    first = (before.get("pretokenizers") or [before])[0]
+    spaced = any(any(c.isspace() for c in t["content"]) or t["lstrip"] or t["rstrip"] or t["single_word"] or t["normalized"] or not t["content"].startswith("<|") for t in rules["added_tokens"])
+    return rules["normalizer"] == _NORMALIZER and (first.get("type"), first.get("pattern"), first.get("behavior"), first.get("invert")) == ("Split", _WORDS, "Removed", True) and not spaced
+
+
 class Encoder:
-    """Ids of whole texts. Texts are cut at spaces, where this kind of tokenizer always cuts too, and
-    the ids of each piece are remembered."""
+    """Ids of whole texts by a tokenizer file: ``.json``, ``.tiktoken`` ranks or a sentencepiece ``.model``.
 
-    def __init__(self, path: str):
-        from tokenizers import Tokenizer
+    Where a ``.json`` file's own rules cut at spaces anyway, texts are cut there and the ids of each piece are
+    remembered; all other tokenizers get each text whole.
+    """
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.known = _Memory(self.tokenizer)
+    def __init__(self, path: str):
+        self.known = None
+        if path.endswith(".json"):
+            from tokenizers import Tokenizer
+
+            self.tokenizer = Tokenizer.from_file(path)
+            self.tokenizer.no_truncation()
+            self.tokenizer.no_padding()
+            self.size = max(self.tokenizer.get_vocab(with_added_tokens=True).values()) + 1
+            if cuts_at_spaces(self.tokenizer):
+                self.known = _Memory(self.tokenizer)
+            self._whole = lambda texts: [e.ids for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        elif path.endswith(".tiktoken"):
+            import base64
+
+            import public_tokenizers
+            import tiktoken
+
+            with open(path, "rb") as file:
+                ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in file if line.strip())}
+            self.tokenizer = tiktoken.Encoding(path, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+            # one more, so that an end id is left
+            self.size = max(ranks.values()) + 2
+            self._whole = lambda texts: [self.tokenizer.encode_ordinary(t) for t in texts]
+        elif path.endswith(".model"):
+            import sentencepiece
+
+            self.tokenizer = sentencepiece.SentencePieceProcessor(model_file=path)
+            self.size = self.tokenizer.vocab_size()
+            self._whole = lambda texts: self.tokenizer.encode(texts, num_threads=1)
+        else:
+            raise ValueError(f"no tokenizer file of a known kind: {path}")
 
     @property
     def bits(self) -> int:
-        return max(1, (self.tokenizer.get_vocab_size(with_added_tokens=True) - 1).bit_length())
+        return max(1, (self.size - 1).bit_length())
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
+        if self.known is None:
+            return [np.array(ids, "<u4") for ids in self._whole([t or "" for t in texts])]
         ids_of = self.known.__getitem__
         out = []
         for text in texts:
@@ -205,6 +255,8 @@ def _write(folder: str, path: str | None, end_id: int):
         store, base = _open(folder)
         store.create_dir(base, recursive=True)
         enc, end = encoder(path), np.array([end_id], "<u4")
+        if end_id >> enc.bits:
+            raise ValueError(f"end id {end_id} does not fit {enc.bits} bits")
         name, draft = f"{base}/shard-{task.partitionId():06d}.cgtb", f"{base}/.draft-{task.partitionId():06d}-{task.taskAttemptId()}"
         writer, names = None, []
         for batch in batches:
