@@ -7,10 +7,13 @@ hashed and counted by distinct repositories and owners, and a value that at most
 and ``max_repos`` repositories hold is live-looking. The same counts class every base span.
 
 Counts are distinct aggregates with map-side partials, so a value that a third of all documents
-copies reaches its task as a few partial rows. Texts are read once; only spans are shuffled.
+copies reaches its task as a few partial rows; its spans get the counts by broadcast, those of other values by a join.
+Texts are read once; only spans are shuffled.
 
 Defined cases: null and empty texts have no spans; a null owner or repository counts as one of its
-own; repeated rows are reported each and count once for their owner; an empty table gives none.
+own; repeated rows are reported each and count once for their owner; spans that tie in start are ordered by kind, then
+end; an empty table gives none. A text is searched whole, however long, in time in proportion to it. Only the
+four named columns are read, so others may have any names.
 """
 
 from __future__ import annotations
@@ -24,6 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from chronograft.llm.text import meet
 from chronograft.storage import keep
 
 KINDS = ("assign", "access", "hex", "vendor", "opaque")
@@ -98,9 +102,11 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", repo_c
     read = keep(narrow.mapInArrow(_scan, f"id {kind}, repo string, owner string, rid long, found array<struct<kind:int,s:int,e:int,h:long>>"), "secrets")
     each = read.where(F.size("found") > 0).select("rid", "repo", "owner", F.explode("found").alias("x"))
     each = each.select("rid", "repo", "owner", "x.kind", "x.s", "x.e", "x.h")
-    held = each.groupBy("h").agg(F.countDistinct("owner").alias("n_owners"), F.countDistinct("repo").alias("n_repos"))
+    held = each.groupBy("h").agg(F.countDistinct("owner").alias("n_owners"), F.countDistinct("repo").alias("n_repos"), F.count("*").alias("n"))
+    held = keep(held, "secret-owners")
+    total = held.agg(F.sum("n")).first()[0] or 0
     live = (F.col("n_owners") <= max_owners) & (F.col("n_repos") <= max_repos)
-    classed = each.select("rid", "kind", "s", "e", "h").join(held, "h").withColumn("live", live)
+    classed = meet(each.select("rid", "kind", "s", "e", "h"), held, "h", total).withColumn("live", live)
     told = classed.where((F.col("kind") < N_BASE) | F.col("live")).groupBy("rid").agg(
         F.sort_array(F.collect_list(F.struct("s", "kind", "e", "n_owners", "n_repos", "live"))).alias("spans"))
     out = read.select("id", "rid").join(told.withColumnRenamed("rid", "of"), F.col("rid") == F.col("of"), "left")
