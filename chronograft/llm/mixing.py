@@ -5,16 +5,21 @@ it holds; the excess goes to the others by weight until none is above. Every doc
 given the whole copies that all documents of its source are certain of. What is still needed is a
 sample without replacement: documents are ranked by random odds over inclusion odds and taken in
 that order until the words are nearest to the need. The inclusion probability of a document
-follows its measure, by default the bit length of its size, so it is unequal within a source.
+follows its measure, by default the bit length of its size, so it is unequal within a source. Where that
+would be above 1, documents are certain, and the others' probabilities are raised until the
+expected words are the words needed: p = min(1, level * measure). The level is solved for from the words that a
+source holds of each measure, a few dozen rows.
 
 The rank is found without sorting a source. Ranks fall into fixed bins, words are summed by source
 and bin, and only the one bin in which a source's need ends is put in order. A hot source is thus
-never brought into one task.
+never brought into one task. What is summed up in one task is one row a source (targets) and one row a measure
+or bin of one source.
 
 Defined cases: null text has size 0; null sources form a source of their own, sorted last; random
-numbers hang on the seed, the id and the text's hash, so reruns agree and equal rows are
-interchangeable; null ids are an id of their own; a source without words gets target 0; an empty
-table gives an empty mix. Input columns may have any names.
+numbers hang on the seed, the id and the text, so reruns agree, rows of one id or without one are drawn apart, and rows
+equal in both are interchangeable; ties in rank are ordered by id and digest, then size; a source without
+words gets target 0; an empty table gives an empty mix; texts of any length are counted whole. Input columns may have
+any names.
 """
 
 from __future__ import annotations
@@ -60,22 +65,41 @@ def _same(a: str, b: str) -> Column:
     return F.col(a).eqNullSafe(F.col(b))
 
 
-def _copies(sizes: DataFrame, weights: tuple[int, ...], max_repeats: int, seed: int) -> DataFrame:
-    """Adds source_size, target and copies to rows that have key, source, size and measure."""
-    totals = sizes.groupBy("source").agg(
-        F.sum("size").alias("source_size"), F.sum(F.col("size") * F.col("measure")).alias("moment"))
-    plan = targets(totals, weights, max_repeats)
+def _levels(measures: DataFrame, plan: DataFrame) -> DataFrame:
+    """(level_source, level): of which ``min(1, level * measure)`` is the inclusion probability in each source.
+
+    If the documents of the j largest measures are certain, the level is (need - their words) / (sum of measure * words of
+    the rest). Any choice of j expects too many words for a given level, so none gives a level too high, and the right
+    one is the greatest.
+    """
+    m = measures.join(plan.select("plan_source", "need"), _same("source", "plan_source")).where("need > 0 and words > 0")
+    larger = Window.partitionBy("source").orderBy(F.col("measure").desc())
+    sure = F.coalesce(F.sum("words").over(larger.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    rest = F.sum(F.col("words") * F.col("measure")).over(larger.rowsBetween(Window.currentRow, Window.unboundedFollowing))
+    each = m.withColumn("level", (F.col("need") - sure) / rest)
+    return each.groupBy(F.col("source").alias("level_source")).agg(F.max("level").alias("level"))
+
+
+def _planned(sizes: DataFrame, weights: tuple[int, ...], max_repeats: int) -> DataFrame:
+    """Adds source_size, target, whole, need and the inclusion probability p to rows that have source, size and measure."""
+    measures = keep(sizes.groupBy("source", "measure").agg(F.sum("size").alias("words")), "mix-measures")
+    plan = targets(measures.groupBy("source").agg(F.sum("words").alias("source_size")), weights, max_repeats)
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     plan = plan.withColumn("whole", F.floor(ratio)).withColumn("need", F.col("target") - F.col("whole") * F.col("source_size"))
+    plan = keep(plan.withColumnRenamed("source", "plan_source"), "mix-targets")
     # written, so that its size is known: Spark broadcasts it where it is small and doesn't deal rows by source
-    plan = keep(plan.withColumnRenamed("source", "plan_source"), "mix-plan")
-
+    plan = keep(plan.join(_levels(measures, plan), _same("plan_source", "level_source"), "left").drop("level_source"), "mix-plan")
     d = sizes.join(plan, _same("source", "plan_source"), "left").drop("plan_source")
-    p = F.when(F.col("moment") > 0, F.col("need") * F.col("measure") / F.col("moment")).otherwise(F.lit(0.0))
+    return d.withColumn("p", F.least(F.lit(1.0), F.coalesce("level", F.lit(0.0)) * F.col("measure"))).drop("level")
+
+
+def _copies(sizes: DataFrame, weights: tuple[int, ...], max_repeats: int, seed: int) -> DataFrame:
+    """Adds source_size, target and copies to rows that have key, source, size and measure."""
+    d = _planned(sizes, weights, max_repeats)
     u = _uniform(F.lit(str(seed)), F.col("key"))
     odds = (u / (1 - u)) / (F.col("p") / (1 - F.col("p")))
     rank = F.when(F.col("p") <= 0, F.lit(1.0)).when(F.col("p") >= 1, F.lit(0.0)).otherwise(F.col("odds") / (1 + F.col("odds")))
-    d = d.withColumn("p", p).withColumn("odds", F.when((F.col("p") > 0) & (F.col("p") < 1), odds)).withColumn("rank", rank)
+    d = d.withColumn("odds", F.when((F.col("p") > 0) & (F.col("p") < 1), odds)).withColumn("rank", rank)
     d = d.withColumn("bin", F.floor(F.col("rank") * F.lit(float(BINS))))
 
     bins = d.where("need > 0").groupBy("source", "bin").agg(F.sum("size").alias("words"), F.max("need").alias("n"))
@@ -96,12 +120,16 @@ def _copies(sizes: DataFrame, weights: tuple[int, ...], max_repeats: int, seed:
     return both.withColumn("copies", F.coalesce(F.col("whole"), F.lit(0)) + F.when(F.col("sampled"), 1).otherwise(0))
 
 
+def _key(id_col: str, text_col: str) -> Column:
+    """A row's draw: its id and its text."""
+    return F.concat_ws(":", F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit("null")), F.md5(F.coalesce(F.col(f"`{text_col}`"), F.lit(""))))
+
+
 def _sized(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
     """The narrow table that all passes read: an opaque key for ties, the source and the size."""
-    ident = F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit("null"))
     size = word_count(F.col(f"`{text_col}`"))
     return docs.select(
-        F.col(f"`{id_col}`").alias("id"), F.col(f"`{source_col}`").alias("source"), ident.alias("key"), size.alias("size")
+        F.col(f"`{id_col}`").alias("id"), F.col(f"`{source_col}`").alias("source"), _key(id_col, text_col).alias("key"), size.alias("size")
     ).withColumn("measure", F.length(F.bin(F.col("size"))).cast("long"))
 
 
@@ -115,21 +143,14 @@ def plan_mix(docs: DataFrame, weights: tuple[int, ...] = DEFAULT_WEIGHTS, max_re
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = DEFAULT_WEIGHTS, max_repeats: int = 3, seed: int = 7,
         id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """The mixed corpus: each input row, with all its columns, as often as it has copies.
-
-    Rows that share an id share their key: among such rows the ones with fewer words come first.
-    """
+    """The mixed corpus: each input row, with all its columns, as often as it has copies."""
     sized = _sized(docs, id_col, text_col, source_col).select("key", "source", "size", "measure")
     sizes = keep(sized, "mix-sizes")
-    copies = _copies(sizes, weights, max_repeats, seed).select("key", "source", "size", "copies")
-    # rows that tie in all of these are interchangeable up to their text; they are numbered apart
-    tie = Window.partitionBy("key", "source", "size").orderBy(F.col("copies").desc())
-    copies = copies.withColumn("n", F.row_number().over(tie)).select(
-        F.col("key").alias("k"), F.col("source").alias("s"), F.col("size").alias("z"), "n", "copies")
-    ident = F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit("null"))
-    rows = packed(docs, ident.alias("key"), F.col(f"`{source_col}`").alias("source"), word_count(F.col(f"`{text_col}`")).alias("size"),
-                  F.xxhash64(F.col(f"`{text_col}`")).alias("h"))
-    rows = rows.withColumn("m", F.row_number().over(Window.partitionBy("key", "source", "size").orderBy("h")))
-    on = [F.col("key") == F.col("k"), F.col("source").eqNullSafe(F.col("s")), F.col("size") == F.col("z"), F.col("m") == F.col("n")]
-    out = rows.join(copies, on).where("copies > 0")
+    copies = _copies(sizes, weights, max_repeats, seed).select("key", "source", "copies")
+    # rows that tie in both are interchangeable up to their other columns; they are numbered apart
+    tie = Window.partitionBy("key", "source").orderBy(F.col("copies").desc())
+    copies = copies.withColumn("n", F.row_number().over(tie)).select(F.col("key").alias("k"), F.col("source").alias("s"), "n", "copies")
+    rows = packed(docs, _key(id_col, text_col).alias("key"), F.col(f"`{source_col}`").alias("source"))
+    rows = rows.withColumn("m", F.row_number().over(Window.partitionBy("key", "source").orderBy("key")))
+    out = rows.join(copies, [F.col("key") == F.col("k"), F.col("source").eqNullSafe(F.col("s")), F.col("m") == F.col("n")]).where("copies > 0")
     return unpacked(out.select("doc", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies").cast("long")))), docs.schema)

@@ -73,6 +73,19 @@ def contamination(text, items):
     return len(w), len(hit), sorted(found)
 
 
+def level_of(need, sizes):
+    """The level at which the expected words of (size, measure) with p = min(1, level * measure) are ``need``, by rounds."""
+    sure, level = set(), 0.0
+    while need > 0 and len(sure) < len(sizes):
+        rest = [x for i, x in enumerate(sizes) if i not in sure]
+        level = (need - sum(sizes[i][0] for i in sure)) / sum(z * m for z, m in rest)
+        more = {i for i, (_, m) in enumerate(sizes) if level * m > 1} - sure
+        if not more:
+            break
+        sure |= more
+    return level
+
+
 def mix(rows):
     """Copies of each of the rows (id, source, text), by the same plan and order."""
     size = [len(WORD.findall(t or "")) for _, _, t in rows]
@@ -95,11 +108,11 @@ def mix(rows):
         mine = [i for i, r in enumerate(rows) if r[1] == s]
         whole = math.floor(target[s] / total[s]) if total[s] else 0
         need = target[s] - whole * total[s]
-        moment = sum(size[i] * size[i].bit_length() if size[i] else 0 for i in mine)
+        level = level_of(need, [(size[i], size[i].bit_length()) for i in mine if size[i]])
         order = []
         for i in mine:
-            p = need * max(1, size[i].bit_length()) / moment if moment else 0.0
-            key = "null" if rows[i][0] is None else str(rows[i][0])
+            p = min(1.0, level * max(1, size[i].bit_length()))
+            key = f"{'null' if rows[i][0] is None else rows[i][0]}:{hashlib.md5((rows[i][2] or '').encode()).hexdigest()}"
             u = (int(hashlib.md5(f"7:{key}".encode()).hexdigest()[:13], 16) + 0.5) / 2**52
             odds = 1.0 if p <= 0 else 0.0 if p >= 1 else (u / (1 - u)) / (p / (1 - p))
             order.append((odds if p <= 0 or p >= 1 else odds / (1 + odds), key, size[i], i))
