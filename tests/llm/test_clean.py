@@ -49,9 +49,10 @@ def test_quality_ablations_and_empty(spark):
     assert len(set(Q.BITS.values())) == len(Q.BITS)
 
 
-@pytest.mark.parametrize("block", [250_000, 3])
-def test_decontamination(spark, monkeypatch, block):
+@pytest.mark.parametrize("block,part", [(16 << 20, 10_000), (600, 5)])
+def test_decontamination(spark, monkeypatch, block, part):
     monkeypatch.setattr(D, "BLOCK", block)
+    monkeypatch.setattr(D, "PART", part)
     rnd = random.Random(5)
     words = [*"abcdefg", "Ää", "9x"]
     say = lambda n: " ".join(rnd.choice(words) for _ in range(n))
@@ -69,6 +70,9 @@ def test_decontamination(spark, monkeypatch, block):
     assert D.contamination(docs.limit(0), bench).count() == 0
     none = D.contamination(docs, bench.limit(0)).collect()
     assert {(r["n_hit"], len(r["items"])) for r in none} == {(0, 0)}
+    short = spark.createDataFrame([("yes", "yes"), ("no", "no no"), ("w", " ".join(f"q{i}" for i in range(8)))], "item_id string, text string")
+    some = spark.createDataFrame([(1, "yes it is"), (2, "yes or no no"), (3, "x " + " ".join(f"q{i}" for i in range(8)) + " y"), (4, "q0 q1 q2")], "doc_id long, text string")
+    assert {r[0] for r in D.drop_contaminated(some, short, min_items=1).collect()} == {1, 4}
     assert D.split_words("Aé9-b") == [w.encode() for w in plain_words("Aé9-b")]
 
 

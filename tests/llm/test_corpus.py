@@ -6,7 +6,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pytest
-from brute import contamination, failed, fingerprint, groups, mix, near_copies, quality, repeats
+from brute import contamination, failed, fingerprint, groups, level_of, mix, near_copies, quality, repeats
 from test_clean import LONG, ODD, frame
 
 from chronograft.llm import copies, mixing, q_simhash, q_substrings, q_tokens, simhash, substrings, suffix, tokens
@@ -135,6 +135,29 @@ def test_mix(spark):
     assert mixing.plan_mix(docs.limit(0)).count() == 0 and mixing.mix(docs.limit(0)).count() == 0
 
 
+def test_inclusion_follows_the_measure(spark):
+    """120 sources are 120 draws: documents of more than their share are certain, the others as frequent as solved for."""
+    mine = [("x " * 200).strip()] + ["y " * 8] * 20 + ["z z"] * 400
+    rows = [(1000 * s + i, f"s{s:03d}", t) for s in range(120) for i, t in enumerate(mine)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    total = 200 + 160 + 800
+    level = level_of(total / 2, [(len(t.split()), len(t.split()).bit_length()) for t in mine])
+    assert 8 * level > 1 > 4 * level
+    sampled = [0, 0, 0]
+    for r in mixing.plan_mix(docs, weights=(1, 3)).collect():
+        i = r["doc_id"] % 1000
+        sampled[min(i, 1) + (i > 20)] += r["copies"] - (r["target"] > total)
+    assert sampled[0] == 120
+    for got, n, p in ((sampled[1], 2400, 4 * level), (sampled[2], 48000, 2 * level)):
+        assert abs(got / n - p) < 4 * (p * (1 - p) / n) ** 0.5, (got / n, p)
+
+
+def test_rows_without_an_id_are_drawn_apart(spark):
+    docs = spark.createDataFrame([(None if i % 2 else 7, "s", f"text {i}") for i in range(60)] + [(1, "t", "a b " * 30)], "doc_id long, source string, text string")
+    copies_ = {r["copies"] for r in mixing.plan_mix(docs, weights=(2, 3)).where("source = 's'").collect()}
+    assert len(copies_) == 2
+
+
 def test_targets_fill_up(spark):
     t = spark.createDataFrame([("a", 10), ("b", 1000), ("c", 10), (None, 1)], "source string, source_size long")
     got = {r["source"]: (r["weight"], r["target"]) for r in mixing.targets(t).collect()}
@@ -246,6 +269,44 @@ def test_shards(spark, tmp_path, monkeypatch):
     assert empty.count() == 0 and tokens.read_tokens(empty).count() == 0
 
 
+def test_every_tokenizer_file_gives_whole_text_ids():
+    import os
+
+    import public_tokenizers
+    import sentencepiece
+    import tiktoken
+    from tokenizers import Tokenizer
+
+    rnd = random.Random(3)
+    texts = ["", " ", "Hello  World's\t\n x", "e\u0301 É ß İ ſ 中文 \u00a0\u3000y", "<|endoftext|> <|x", "a" * 300, "1234 we'll THEY'RE", *(prose(rnd, 30) for _ in range(20))]
+    texts += ["".join(rnd.choice("aB é\u0301.,'s<|1 \n\t中") for _ in range(40)) for _ in range(100)]
+    folder = os.path.dirname(public_tokenizers.path("word_bpe_49k.json"))
+    seen = 0
+    for file in sorted(os.listdir(folder)):
+        path = os.path.join(folder, file)
+        if file.endswith(".json"):
+            whole = Tokenizer.from_file(path)
+            want = [whole.encode(t, add_special_tokens=False).ids for t in texts]
+        elif file.endswith(".tiktoken"):
+            import base64
+
+            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(path, "rb"))}
+            whole = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+            want = [whole.encode_ordinary(t) for t in texts]
+        elif file.endswith(".model"):
+            want = sentencepiece.SentencePieceProcessor(model_file=path).encode(texts)
+        else:
+            continue
+        seen += 1
+        encoder = tokens.Encoder(path)
+        assert [x.tolist() for x in encoder.encode(texts)] == want, file
+        assert max(map(max, filter(None, want))) < 1 << encoder.bits
+        assert (encoder.known is not None) == (file == "word_bpe_49k.json")
+    assert seen == 5
+    with pytest.raises(ValueError):
+        tokens.Encoder("vocabulary.txt")
+
+
 def test_small_blocks():
     sink = pa.BufferOutputStream()
     w = tokens.ShardWriter(sink, 5, block=8)
