@@ -4,6 +4,9 @@ Every window of ``WINDOW`` bytes has an anchor, the least hash of the ``GRAM``-b
 windows have equal anchors at equal offsets. Consecutive windows with one anchor form a run. Runs
 whose anchor is found at one place only can't hold a repeated window; the rest are grouped by
 their anchor, and windows of different groups can't be equal.
+
+A group that is too large is refined: the windows of its segments are cut into runs again, now by the ``level`` + 1 least
+hashes of their grams, which equal windows have in common too.
 """
 
 from __future__ import annotations
@@ -100,3 +103,26 @@ def _runs(texts: list[bytes]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray,
     cuts = np.searchsorted(text, np.arange(len(texts) + 1))
     signed = anchor.view(np.int64)
     return [(signed[a:b], first[a:b] - starts[i], count[a:b], places[a:b]) for i, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True))]
+
+
+def refined(data: bytes, level: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first window, windows, key) of the runs of windows of ``data`` that agree in their ``level`` + 1 least gram hashes.
+
+    Equal windows have equal keys, and with all of its grams' hashes a key tells the window itself.
+    """
+    h = gram_hashes(np.frombuffer(data, np.uint8))
+    n = len(h) - _SPAN + 1
+    firsts, counts, keys = [], [], []
+    for lo in range(0, n, 2048):  # bounded memory
+        view = np.lib.stride_tricks.sliding_window_view(h[lo : lo + 2048 + _SPAN - 1], _SPAN)
+        most = min(level + 1, _SPAN)
+        least = np.sort(np.partition(view, most - 1, axis=1)[:, :most] if most < _SPAN else view, axis=1)
+        key = np.zeros(len(least), np.uint64)
+        for c in range(most):
+            key = (key ^ least[:, c]) * np.uint64(0xBF58476D1CE4E5B9)
+            key ^= key >> np.uint64(31)
+        edge = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+        firsts.append(edge + lo)
+        counts.append(np.diff(np.append(edge, len(key))))
+        keys.append(key[edge])
+    return np.concatenate(firsts), np.concatenate(counts), np.concatenate(keys).view(np.int64)

@@ -11,18 +11,20 @@ more places, in the same text or another, is removed; no string crosses texts.
 4. A shard's segments are joined to texts of some MB, and their suffix arrays are made by induced
    sorting. The permuted common prefixes with the neighbours in suffix order tell each window that
    starts twice.
-5. A group above ``GROUP_BYTES`` isn't brought together: its windows are counted by digest, in a
-   plain aggregate with map-side partials.
-6. Marked windows go back to their texts, whose remaining bytes are joined.
+5. A group above ``GROUP_BYTES`` isn't brought together. Its windows are grouped anew by their two least hashes, then by
+   four, eight and so on until all groups fit; by all hashes only equal windows are in a group, which are one
+   segment with a count. So groups are bounded and suffix arrays remain the method.
+6. A run of one byte is cut to twice the window before sorting: what is left out equals what is kept.
+7. Marked windows go back to their texts, whose remaining bytes are joined.
 
 Defined cases: null text is empty; texts under 200 bytes keep everything; a repeated row repeats
-its text; null ids are kept; very long texts are cut like others; an empty table gives none.
-Other columns of the input don't matter.
+its text; null ids are kept; texts are cut into overlapping pieces of ``PIECE`` windows before hashing, so that a very
+long one takes bounded memory beside itself; an empty table gives none. Only the id and the text are read, so other columns
+may have any names.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,14 +32,28 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronograft.llm.anchors import WINDOW, runs
+from chronograft.llm.anchors import WINDOW, refined, runs
 from chronograft.llm.suffix import common_prefixes, suffix_array
+from chronograft.llm.text import meet
 from chronograft.storage import keep
 
 #: Bytes of an anchor's segments beyond which they aren't brought into one task.
 GROUP_BYTES = 8 << 20
 #: Bytes of segments that one suffix array covers, whole groups together.
 ARRAY_BYTES = 2 << 20
+#: Windows of a piece of a text.
+PIECE = 1 << 20
+
+
+def _runs_of(texts: list[bytes]) -> list[tuple[np.ndarray, ...]]:
+    """Runs of each text, long ones by pieces that overlap by a window less a byte."""
+    cuts = [range(0, max(1, len(t) - WINDOW + 1), PIECE) for t in texts]
+    found = iter(runs([t if len(c) == 1 else t[a : a + PIECE + WINDOW - 1] for t, c in zip(texts, cuts, strict=True) for a in c]))
+    out = []
+    for c in cuts:
+        each = [(r[0], r[1] + a, r[2], r[3]) for a, r in zip(c, found, strict=False)]
+        out.append(each[0] if len(each) == 1 else tuple(np.concatenate(x) for x in zip(*each, strict=True)))
+    return out
 
 
 def _find_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -46,7 +62,7 @@ def _find_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for at in range(0, b.num_rows, 500):
             part = b.slice(at, 500)
             texts = [t or b"" for t in part.column(0).to_pylist()]
-            found = runs(texts)
+            found = _runs_of(texts)
             cuts = np.concatenate(([0], np.cumsum([len(r[0]) for r in found]))).astype(np.int32)
             cat = [np.concatenate([r[k] for r in found]) if found else np.zeros(0, np.int64) for k in range(4)]
             values = pa.StructArray.from_arrays([pa.array(cat[0], pa.int64()), *[pa.array(c, pa.int32()) for c in cat[1:]]], ["anchor", "first", "n", "places"])
@@ -75,24 +91,47 @@ def _ranges(flags: np.ndarray) -> list[dict]:
     return [{"a": a, "b": b} for a, b in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True)]
 
 
+def _shortened(data: bytes) -> tuple[np.ndarray, np.ndarray | None]:
+    """The bytes with every run of one byte cut to two windows, and where each remaining one was (None: nothing cut)."""
+    d = np.frombuffer(data, np.uint8)
+    edge = np.append(np.flatnonzero(np.append(True, d[1:] != d[:-1])), len(d))
+    long = np.flatnonzero(np.diff(edge) > 2 * WINDOW)
+    if not len(long):
+        return d, None
+    left = np.ones(len(d), bool)
+    for i in long.tolist():
+        left[edge[i] + WINDOW : edge[i + 1] - WINDOW] = False
+    at = np.flatnonzero(left)
+    return d[at], at
+
+
 def repeated_windows(segments: list[bytes]) -> list[np.ndarray]:
     """For each segment, whether each of its windows starts at another place of the segments too."""
-    total = sum(map(len, segments)) + len(segments)
+    cut = [_shortened(s) for s in segments]
+    total = sum(len(d) for d, _ in cut) + len(cut)
     t = np.empty(total, np.uint16)
     starts, at = [], 0
-    for s in segments:
+    for d, _ in cut:
         starts.append(at)
-        t[at : at + len(s)] = np.frombuffer(s, np.uint8)
-        t[at : at + len(s)] += 2
-        t[at + len(s)] = 1
-        at += len(s) + 1
+        t[at : at + len(d)] = d
+        t[at : at + len(d)] += 2
+        t[at + len(d)] = 1
+        at += len(d) + 1
     t[-1] = 0
     sa = suffix_array(t, 258)
     common = common_prefixes(t, sa)
     after = np.zeros(total, np.int64)
     after[sa[:-1]] = common[sa[1:]]
     twice = np.maximum(common, after) >= WINDOW
-    return [twice[a : a + len(s) - WINDOW + 1] for a, s in zip(starts, segments, strict=True)]
+    out = []
+    for a, s, (d, kept) in zip(starts, segments, cut, strict=True):
+        some = twice[a : a + len(d) - WINDOW + 1]
+        if kept is not None:  # windows left out are of one byte, and so repeated
+            every = np.ones(len(s) - WINDOW + 1, bool)
+            every[kept[: len(some)]] = some
+            some = every
+        out.append(some)
+    return out
 
 
 _MARKS = "anchor long, seg long, n int, ranges array<struct<a:int,b:int>>"
@@ -121,16 +160,55 @@ def _sorted_shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield done(held)
 
 
-def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One row a window of a hot group: its digest and place."""
-    for b in batches:
-        for anchor, seg, n, data in zip(*(b.column(c).to_pylist() for c in ("anchor", "seg", "n", "bytes")), strict=True):
-            for lo in range(0, n, 20_000):
-                at = range(lo, min(n, lo + 20_000))
-                sums = [hashlib.blake2b(data[i : i + WINDOW], digest_size=16).digest() for i in at]
+def _finer(level: int):
+    """Rows (anchor, seg, n, off, bytes) of a hot group to rows of its refined groups, and where these lie."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
+        for b in batches:
+            for anchor, seg, n, off, data in zip(*(b.column(c).to_pylist() for c in ("anchor", "seg", "n", "off", "bytes")), strict=True):
+                first, count, key = refined(data, level)
+                cut = [data[a : a + c + WINDOW - 1] for a, c in zip(first.tolist(), count.tolist(), strict=True)]
+                k = len(cut)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([anchor] * len(at), pa.int64()), pa.array([seg] * len(at), pa.int64()), pa.array([n] * len(at), pa.int32()),
-                     pa.array(list(at), pa.int32()), pa.array(sums, pa.binary())], names=["anchor", "seg", "n", "at", "sum"])
+                    [pa.array([anchor] * k, pa.int64()), pa.array([seg] * k, pa.int64()), pa.array([n] * k, pa.int32()), pa.array(first + off, pa.int32()),
+                     pa.array(key, pa.int64()), pa.array([xxhash.xxh3_64_intdigest(c) - (1 << 63) for c in cut], pa.int64()),
+                     pa.array(count, pa.int32()), pa.array(cut, pa.binary())],
+                    names=["anchor", "seg", "n", "off", "fine", "part", "m", "bytes"])
+
+    return run
+
+
+def _marks_of_hot(hot: DataFrame, group_bytes: int, rows: int) -> DataFrame | None:
+    """Marks (anchor, seg, n, ranges) of the windows of groups that are too large, refined until they aren't.
+
+    ``hot`` has (anchor, seg, n, bytes), one row a distinct segment.
+    """
+    now, out, level = hot.withColumn("off", F.lit(0)), None, 1
+    while rows:
+        parts = keep(now.mapInArrow(_finer(level), "anchor long, seg long, n int, off int, fine long, part long, m int, bytes binary"), "finer")
+        kinds = parts.groupBy("fine", "part", "m").agg(F.count("*").alias("times"), F.first("bytes").alias("bytes"))
+        kinds = keep(kinds, "finer-kinds")
+        groups = keep(kinds.groupBy("fine").agg(F.sum(F.octet_length("bytes")).cast("long").alias("size"), F.count("*").alias("n")), "finer-groups")
+        sized = keep(meet(kinds, groups, "fine", kinds.count()), "finer-sized")
+        whole = F.array(F.struct(F.lit(0).alias("a"), F.col("m").alias("b")))
+        again = sized.where("times > 1").select("fine", "part", "m", whole.alias("ranges"))
+        last = level + 1 >= WINDOW  # no more hashes than a window has
+        small = sized.where((F.col("size") <= group_bytes) | F.lit(last)).repartition("fine").sortWithinPartitions("fine")
+        small = small.select(F.col("fine").alias("anchor"), F.col("part").alias("seg"), F.col("m").alias("n"), "bytes").mapInArrow(_sorted_shard, _MARKS)
+        found = again.union(small.where(F.size("ranges") > 0)).toDF("fine", "part", "m", "ranges")
+        places = parts.select("anchor", "seg", "n", "off", "fine", "part", "m")
+        moved = F.transform("ranges", lambda r: F.struct((r["a"] + F.col("off")).alias("a"), (r["b"] + F.col("off")).alias("b")))
+        marks = keep(places.join(found, ["fine", "part", "m"]).select("anchor", "seg", "n", moved.alias("ranges")), "finer-marks")
+        out = marks if out is None else out.union(marks)
+        # kinds that are there several times are marked, but the others have to meet them
+        over = sized.where(F.col("size") > group_bytes)
+        rows = 0 if last else over.where("times = 1").count()
+        if rows:
+            now = keep(parts.join(over.select("fine", "part", "m"), ["fine", "part", "m"], "left_semi").select("anchor", "seg", "n", "off", "bytes"), "finer-left")
+        level = 2 * level + 1
+    return out
 
 
 def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -171,8 +249,11 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", dig
 
     texts = found.groupBy("h").agg(F.count("*").alias("copies"), F.first("runs").alias("runs"))
     each = texts.select("h", F.explode("runs").alias("r")).select("h", "r.*")
-    shared = each.groupBy("anchor").agg(F.sum("places").alias("p")).where("p > 1").select("anchor")
-    left = each.join(shared, "anchor").groupBy("h").agg(F.collect_list(F.struct("anchor", "first", "n")).alias("segments"))
+    shared = each.groupBy("anchor").agg(F.sum("places").alias("p"), F.count("*").alias("n")).where("p > 1")
+    total = found.agg(F.sum(F.size("runs"))).first()[0] or 0
+    shared = shared.select("anchor", F.col("n").alias("n_rows"))
+    left = meet(each.withColumnRenamed("n", "windows"), shared.withColumnRenamed("n_rows", "n"), "anchor", total)
+    left = left.select("h", "anchor", "first", F.col("windows").alias("n")).groupBy("h").agg(F.collect_list(F.struct("anchor", "first", "n")).alias("segments"))
     # one row of each text that still has segments; only these texts move
     one = rows.join(left.withColumnRenamed("h", "of"), F.col("h") == F.col("of")).groupBy("h").agg(
         F.first("text").alias("text"), F.first("segments").alias("segments"))
@@ -191,12 +272,10 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", dig
     cold = sized.where(F.col("size") <= group_bytes).repartition("anchor").sortWithinPartitions("anchor")
     marks = cold.select("anchor", "seg", "n", "bytes").mapInArrow(_sorted_shard, _MARKS)
 
-    hot = sized.where(F.col("size") > group_bytes).select("anchor", "seg", "n", "bytes").mapInArrow(_digests, "anchor long, seg long, n int, at int, sum binary")
-    twice = hot.groupBy("sum").agg(F.count("*").alias("c")).where("c > 1").select("sum")
-    by_digest = hot.join(twice, "sum").groupBy("anchor", "seg", "n").agg(
-        F.collect_list(F.struct(F.col("at").alias("a"), (F.col("at") + 1).alias("b"))).alias("ranges"))
-
-    marked = again.union(marks.where(F.size("ranges") > 0)).union(by_digest)
+    marked = again.union(marks.where(F.size("ranges") > 0))
+    n_hot = groups.where(F.col("size") > group_bytes).count()
+    if n_hot:
+        marked = marked.union(_marks_of_hot(sized.where(F.col("size") > group_bytes).select("anchor", "seg", "n", "bytes"), group_bytes, n_hot))
     marked = marked.select("anchor", "seg", "n", F.explode("ranges").alias("r")).select("anchor", "seg", "n", "r.a", "r.b")
     spans = places.join(marked, ["anchor", "seg", "n"]).select(
         "did", F.struct((F.col("first") + F.col("a")).alias("a"), (F.col("first") + F.col("b") + (WINDOW - 1)).alias("b")).alias("r"))

@@ -13,6 +13,10 @@ from __future__ import annotations
 import numpy as np
 
 
+#: Characters that all positions are compared by together; longer matches are followed one by one.
+_STEPS = 1024
+
+
 def _types(t: np.ndarray) -> np.ndarray:
     """True where the suffix is S. The last character has to be the only least one."""
     n = len(t)
@@ -194,11 +198,21 @@ def common_prefixes(t: np.ndarray, sa: np.ndarray) -> np.ndarray:
     live = np.arange(len(start))
     room = n - np.maximum(start, other)
     d = 0
-    while len(live):
+    while len(live) and d < _STEPS:
         equal = t[start[live] + d] == t[other[live] + d]
         length[live[equal]] = d + 1
         d += 1
         live = live[equal & (room[live] > d)]
+    for i in live.tolist():  # few; what is compared here is passed over by the positions that follow
+        a, b, most = int(start[i]), int(other[i]), int(room[i])
+        while d < most:
+            size = min(1 << 14, most - d)
+            unequal = np.flatnonzero(t[a + d : a + d + size] != t[b + d : b + d + size])
+            if len(unequal):
+                d += int(unequal[0])
+                break
+            d += size
+        length[i], d = d, _STEPS
     out = np.zeros(n, np.int64)
     out[start] = length
     anchor = np.where(moved, np.arange(n), 0)

@@ -9,7 +9,7 @@ import pytest
 from brute import contamination, failed, fingerprint, groups, level_of, mix, near_copies, quality, repeats
 from test_clean import LONG, ODD, frame
 
-from chronograft.llm import copies, mixing, q_simhash, q_substrings, q_tokens, simhash, substrings, suffix, tokens
+from chronograft.llm import anchors, copies, mixing, q_simhash, q_substrings, q_tokens, simhash, substrings, suffix, tokens
 from chronograft.llm.components import components
 from pyspark.sql import functions as F
 
@@ -184,7 +184,7 @@ def test_suffix_arrays():
             assert common[i] == same
 
 
-@pytest.mark.parametrize("group_bytes", [substrings.GROUP_BYTES, 0])
+@pytest.mark.parametrize("group_bytes", [substrings.GROUP_BYTES, 5_000, 0])
 def test_repeats(spark, tmp_path, group_bytes):
     rnd = random.Random(9)
     shared = [prose(rnd, 60), prose(rnd, 45), "中é" * 60]
@@ -196,7 +196,7 @@ def test_repeats(spark, tmp_path, group_bytes):
     told = [(r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], bytes(r["kept"])) for r in got.collect()]
     assert sorted(map(str, told)) == want
     assert substrings.repeats(docs.limit(0)).count() == 0
-    if group_bytes:
+    if group_bytes == substrings.GROUP_BYTES:
         docs.select("doc_id", "text").write.parquet(f"{tmp_path}/documents.parquet")
         import hashlib
 
@@ -204,6 +204,45 @@ def test_repeats(spark, tmp_path, group_bytes):
         assert sorted(map(str, map(tuple, q_substrings.op4_suffix_dedup(spark, str(tmp_path)).collect()))) == sums
 
 
+def test_runs_of_one_byte_and_periods():
+    import time
+
+    rnd = random.Random(4)
+    parts = [*(c * n for c in "ab" for n in (150, 199, 200, 201, 399, 400, 401, 402, 900)), "ab" * 150, "abc" * 200, "x", "yz" * 3, prose(rnd, 40)]
+    for _ in range(30):
+        segments = ["".join(rnd.choice(parts) for _ in range(rnd.randint(1, 4))).encode() for _ in range(4)]
+        segments = [s for s in segments if len(s) >= 200]
+        windows = [s[i : i + 200] for s in segments for i in range(len(s) - 199)]
+        want = [[windows.count(s[i : i + 200]) > 1 for i in range(len(s) - 199)] for s in segments]
+        assert [x.tolist() for x in substrings.repeated_windows(segments)] == want
+    for data in (b"a" * (4 << 20), b"ab" * (1 << 20), bytes(range(97, 122)) * 40_000):
+        began = time.process_time()
+        assert substrings.repeated_windows([data])[0].all()
+        assert time.process_time() - began < 30
+
+
+def test_refined_runs_tell_windows_apart():
+    rnd = random.Random(6)
+    data = ("a" * 300 + prose(rnd, 60) + "ab" * 120 + prose(rnd, 20)).encode()
+    windows = [data[i : i + 200] for i in range(len(data) - 199)]
+    for level in (1, 3, 255):
+        first, count, key = anchors.refined(data, level)
+        assert first[0] == 0 and (first[1:] == first[:-1] + count[:-1]).all() and first[-1] + count[-1] == len(windows)
+        of = np.repeat(key, count).tolist()
+        by = {}
+        assert all(by.setdefault(w, k) == k for w, k in zip(windows, of, strict=True))
+    assert len(set(of)) == len(set(windows))
+
+
+def test_pieces(monkeypatch):
+    rnd = random.Random(7)
+    monkeypatch.setattr(substrings, "PIECE", 300)
+    texts = [prose(rnd, 400).encode(), b"", b"x" * 199, prose(rnd, 38).encode()]
+    for t, r in zip(texts, substrings._runs_of(texts), strict=True):
+        covered = sorted(i for f, n in zip(r[1].tolist(), r[2].tolist(), strict=True) for i in range(f, f + n))
+        assert covered == list(range(max(0, len(t) - 199)))
+
+
 def test_one_very_long_text(spark):
     rnd = random.Random(3)
     a, b = prose(rnd, 30_000), prose(rnd, 100)
