@@ -12,8 +12,9 @@ similarity of 0.45 only. A shingle counts where it is first in its text, so repe
 3. Inside a bucket, Hamming distances to reference fingerprints, members far from each other, make a pivot table. Pairs whose
    distances to any reference differ by more than ``MAX_BITS`` are discarded, the others compared by their bits.
    At the least similarity some 75 of 256 bits differ (sd 7), between unrelated texts 128 (sd 8).
-4. What is left is verified on the whole sequences of shingles. Pairs that are linked already aren't, so a bucket of
-   n copies costs about n comparisons. Only a spanning forest leaves a bucket; components come from star rounds.
+4. What is left is verified on the whole sequences of shingles, in large buckets only pairs that share more than the
+   passages which many of its texts share. Pairs that are linked already aren't, so a bucket of n copies costs about n
+   comparisons. Only a spanning forest leaves a bucket; components come from star rounds.
 
 A bucket above ``BUCKET`` members is cut into chunks, each pair of which is a task's work, so none is gathered and no pair
 is lost. ``exact`` takes every shingle as a key and any number of bits, and so finds all links for certain.
@@ -26,7 +27,7 @@ read whole; an empty table gives an empty one. Input columns may have any names.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -42,6 +43,8 @@ SHINGLE, KEYS, MAX_BITS, SIMILARITY = 5, 12, 100, 0.8
 #: Members of a chunk whose bits are compared, and shingles of a chunk whose texts are.
 BUCKET, SHINGLES = 2048, 1 << 21
 REFERENCES = 16
+#: Texts of a bucket that a shingle has to be in to be common there; what a text weighs beside its shingles.
+COMMON, TEXT = 64, 500
 
 
 def _spread(h: np.ndarray, n: int) -> np.ndarray:
@@ -150,6 +153,36 @@ class Shingled:
             self.first.append(first)
         self.words = [_covered(f) for f in self.first]
 
+    def plausible(self, similarity: float) -> Callable[[int, np.ndarray], np.ndarray]:
+        """What leaves, of some texts, those that can be like text i. No one that is gets lost.
+
+        Shingles of over ``COMMON`` texts tell little. A text that they alone make not alike to anything has to share
+        another shingle with a text like it, which an index of the other shingles finds; the remaining texts are
+        compared with each other.
+        """
+        n = len(self.places)
+        mine = [p[f] for p, f in zip(self.places, self.first, strict=True)]
+        values, of = np.concatenate(mine), np.repeat(np.arange(n), [len(x) for x in mine])
+        counts = np.bincount(values, minlength=len(self.held))
+        common = counts > COMMON
+        full = np.zeros(n, bool)
+        for i, (p, f) in enumerate(zip(self.places, self.first, strict=True)):
+            some = common[p] & f
+            full[i] = some.sum() >= similarity * f.sum() - 1e-9 or _covered(some) >= similarity * self.words[i] - 1e-9
+        holders = of[np.argsort(values, kind="stable")]
+        ends = np.cumsum(counts)
+        marked = np.zeros(n, bool)
+
+        def run(i: int, near: np.ndarray) -> np.ndarray:
+            rare = [holders[ends[v] - counts[v] : ends[v]] for v in mine[i][~common[mine[i]] & (counts[mine[i]] > 1)].tolist()]
+            some = np.concatenate(rare) if rare else np.zeros(0, np.int64)
+            marked[some] = True
+            left = near[marked[near] | (full[i] & full[near])]
+            marked[some] = False
+            return left
+
+        return run
+
     def alike(self, i: int, j: int, similarity: float) -> bool:
         self.held[self.places[j]] = True
         mine = self.held[self.places[i]] & self.first[i]
@@ -171,9 +204,12 @@ def forest(nodes: np.ndarray, bits: np.ndarray, hashes: list[np.ndarray], max_bi
     nodes, bits = nodes[order], bits[order]
     texts = Shingled([hashes[i] for i in order.tolist()])
     root = np.arange(len(nodes))
+    left = texts.plausible(similarity) if len(nodes) > COMMON else None
     for us, vs in near_pairs(bits, max_bits):
         cuts = np.flatnonzero(np.diff(us)) + 1
         for i, near in zip(us[np.concatenate(([0], cuts))].tolist() if len(us) else (), np.split(vs, cuts), strict=False):
+            if left and len(near := near[root[near] != root[i]]) > 4:
+                near = left(i, near)
             while len(near := near[root[near] != root[i]]):
                 j, near = int(near[0]), near[1:]
                 if texts.alike(i, j, similarity):
@@ -260,7 +296,7 @@ def links(texts: DataFrame, rows: DataFrame, similarity: float = SIMILARITY, max
     some = found.select("node", "h").distinct()
     wanted = rows.groupBy("h").agg(F.first("t").alias("t")).join(some, "h").select("node", "t")
     sequences = keep(wanted.mapInArrow(_sequences, "node long, shingles binary"), "sequences")
-    members = _chunked(found.drop("h"), F.col("n_shingles"), SHINGLES).join(sequences, "node")
+    members = _chunked(found.drop("h"), F.col("n_shingles") + TEXT, SHINGLES).join(sequences, "node")
     return _compared(members, "node", "bits", "shingles").select("m").mapInArrow(_linked(max_bits, similarity), "u long, v long")
 
 

@@ -465,6 +465,21 @@ def test_pivot_tables_lose_no_pair(max_bits):
     assert got == {(i, j) for i in range(400) for j in range(i + 1, 400) if far[i, j] <= max_bits} and got
 
 
+@pytest.mark.parametrize("common", [1, 3, 12, 1000])
+def test_forest_of_copies_is_whole(monkeypatch, common):
+    """Texts around shared passages, whatever number of texts makes a shingle common."""
+    monkeypatch.setattr(copies, "COMMON", common)
+    rnd = random.Random(common)
+    words = [f"w{i}" for i in range(2000)]
+    say = lambda n: " ".join(rnd.choice(words) for _ in range(n))
+    passages = [say(40), say(25)]
+    texts = [say(rnd.choice((4, 30))) + " " + rnd.choice(passages) + " " + say(rnd.choice((4, 30))) for _ in range(60)]
+    texts += [" ".join(rnd.choice(words) if rnd.random() < 0.04 else w for w in t.split(" ")) for t in texts for _ in range(2)]
+    u, v = copies.forest(np.arange(len(texts)), np.array([copies.wide_fingerprint(t)[0] for t in texts]), [simhash.shingle_hashes(t, 5) for t in texts], 256, 0.8)
+    root = dict(zip(u.tolist(), v.tolist(), strict=True))
+    assert [root.get(i, i) for i in range(len(texts))] == copies_of(texts)
+
+
 def test_dense_buckets_are_fast():
     import time
 
