@@ -116,6 +116,28 @@ def test_licences(spark):
     assert licenses.scan(docs.limit(0)).count() == 0
 
 
+def _wrapped(text, width=60, mark="// "):
+    import textwrap
+
+    return "\n".join(mark + x for x in textwrap.wrap(text, width))
+
+
+@pytest.mark.parametrize("scale", [1, 20])
+def test_licences_near_each_other(spark, scale):
+    """Wrapped notices, whole texts and look-alikes, whatever the size of the corpus around them."""
+    T = licenses.TEMPLATES
+    cases = [(name, notice, False) for name, notices in T.items() for notice in notices] + [(name, notices[-2], True) for name, notices in T.items() if len(notices) > 1]
+    rnd = random.Random(scale)
+    filler = ["the of and this is for with in work software copyright use terms version year"] * 3 + ["".join(rnd.choice("abcdefgh") for _ in range(5)) + " the and of" for _ in range(40)]
+    rows = [(i, f"int x;\n{_wrapped(text) if wrap else text}\nint main", f"r{i}/f{i}.c") for i, (_, text, wrap) in enumerate(cases)]
+    rows += [(1000 + i, "\n".join(rnd.choice(filler) for _ in range(12)), f"z{i}/t.txt") for i in range(100 * scale)]
+    got = {r["doc_id"]: r["own_licence"] for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string, path string")).collect()}
+    for i, (name, text, _) in enumerate(cases):
+        shared = {n for n, notices in T.items() if any(x == text or x in text for x in notices)}
+        assert got[i] == name or got[i] in shared, (got[i], name, text)
+    assert all(v is None for k, v in got.items() if k >= 1000)
+
+
 PAGE = """<!doctype html><html><head><title>T</title><style>p{}</style><script>var a="<p>no</p>";</script></head><body class="page">
 <header><h1>Site</h1></header><nav><ul><li><a href=/>Home</a></li></ul></nav><div class="cookie-banner">We use cookies, okay, yes.</div>
 <div id="wrap"><aside class="sidebar"><p>Side, text, with, commas, and words enough to count for something here.</p></aside>
