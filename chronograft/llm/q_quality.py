@@ -50,3 +50,15 @@ judged AS (SELECT *,
 SQL = f"""WITH {LEDGER_SQL}
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
        (failed_bits & 3) <> 0 AS base_failed, failed_bits = 0 AS kept, failed_bits FROM judged"""
+
+
+def quality_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each rule of the policy rejects, alone or at all, and what the others would without it."""
+    led = quality.ledger(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+    return quality.ablations(led, POLICY)
+
+
+_RULES = ", ".join(f"('{rule}', {1 << quality.BITS[rule]})" for rule in quality.POLICIES[POLICY])
+ABLATIONS_SQL = f"""WITH {LEDGER_SQL}, rules(rule, bit) AS (VALUES {_RULES})
+SELECT rule, count(*) FILTER (failed_bits & bit <> 0)::BIGINT AS n_failed, count(*) FILTER (failed_bits = bit)::BIGINT AS n_alone,
+  count(*) FILTER (failed_bits <> 0 AND failed_bits <> bit)::BIGINT AS n_rejected_without FROM judged, rules GROUP BY rule"""

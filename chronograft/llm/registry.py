@@ -17,6 +17,7 @@ def queries() -> dict:
         "op8_quality_rules": q_quality.op8_quality_rules,
         "op9_secrets": q_secrets.op9_secrets,
         "op10_html_text": q_html.op10_html_text,
+        "quality_ablations": q_quality.quality_ablations,
     }
 
 
@@ -28,4 +29,5 @@ def oracle_sql() -> dict[str, str]:
         "op5_licenses": q_licenses.SQL,
         "op7_chat_format": q_chat.SQL,
         "op8_quality_rules": q_quality.SQL,
+        "quality_ablations": q_quality.ABLATIONS_SQL,
     }

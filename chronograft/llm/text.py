@@ -45,16 +45,16 @@ def unpacked(df: DataFrame, schema) -> DataFrame:
 
 
 #: Rows of a key beyond which it is met by broadcast, and the most such keys.
-HOT = 1000
+HOT, FEW = 1000, 10_000
 
 
 def meet(rows: DataFrame, keyed: DataFrame, key: str, total: int) -> DataFrame:
     """Inner join of ``rows``, ``total`` of them, with ``keyed``: one row a key, ``n`` being the key's number of rows.
 
-    The rows of a hot key would all be dealt to one task. Keys with more than total / HOT rows are fewer than
-    HOT, so these are broadcast and their rows stay where they are. Both inputs are read twice.
+    The rows of a hot key would all be dealt to one task. Keys with more than total / FEW rows are fewer than
+    FEW, so these are broadcast and their rows stay where they are. Both inputs are read twice.
     """
-    hot = F.col("n") > max(HOT, total // HOT)
+    hot = F.col("n") > max(HOT, total // FEW)
     few = F.broadcast(keyed.where(hot))
     rest = rows.join(few.select(key), key, "left_anti")
     return rows.join(few, key).unionByName(rest.join(keyed.where(~hot), key))
