@@ -53,6 +53,22 @@ def format_intervals(intervals: Column) -> Column:
     return F.concat(F.lit("["), F.array_join(F.transform(intervals, one), ", "), F.lit("]"))
 
 
+def runs_of(times: Column) -> Column:
+    """The maximal runs (start, end) of an array of snapshots in any order, repeats included."""
+    def cut(t: Column) -> Column:
+        first = F.filter(t, lambda x, i: F.coalesce(F.get(t, i - 1) != x - 1, F.lit(True)))
+        last = F.filter(t, lambda x, i: F.coalesce(F.get(t, i + 1) != x + 1, F.lit(True)))
+        return F.transform(F.arrays_zip(first.alias("start"), last.alias("end")), lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end")))
+
+    # within the lambda the sorted array is a value and not an expression for each element
+    return F.element_at(F.transform(F.array(F.array_sort(F.array_distinct(times))), cut), 1)
+
+
+def format_times(times: Column) -> Column:
+    """An array of snapshots as ``[1-3, 5]``."""
+    return format_intervals(runs_of(times))
+
+
 def islands(df: DataFrame, keys: list[str], t: str = "t") -> DataFrame:
     """Maximal runs (keys, start, end) of distinct (keys, t) rows: consecutive snapshots share t - rank."""
     rank = F.row_number().over(Window.partitionBy(*keys).orderBy(t))

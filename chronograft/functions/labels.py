@@ -10,9 +10,10 @@ from __future__ import annotations
 import random
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+
+from chronograft.storage import keep
 
 LABELS = "ABCDE"
 
@@ -39,9 +40,14 @@ def draws(seed: int, n: int = 5) -> Iterator[int]:
 
 def ranked(ids: DataFrame, column: str = "id") -> DataFrame:
     """Distinct ids with their rank from 0, in ascending order."""
-    ordered = ids.select(column).distinct().sort(column)
-    schema = T.StructType([*ordered.schema.fields, T.StructField("rank", T.LongType())])
-    return ordered.rdd.zipWithIndex().map(lambda r: (*r[0], r[1])).toDF(schema)
+    # partitions of a sort are ranges in order; an id's place is its partition and its row within
+    placed = keep(ids.select(column).distinct().sort(column).withColumn("_place", F.monotonically_increasing_id()), "ranked")
+    part, row = F.shiftright("_place", 33), F.col("_place").bitwiseAND((1 << 33) - 1)
+    sizes = placed.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))
+    before = F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    starts = sizes.select("_part", F.coalesce(before, F.lit(0)).alias("_start"))
+    # a row a partition of the sort
+    return placed.join(F.broadcast(starts), part == F.col("_part")).select(column, (F.col("_start") + row).alias("rank"))
 
 
 def seeded_labels(ids: DataFrame, seed: int = 42, column: str = "id", chunk: int = 1_000_000) -> DataFrame:

@@ -59,10 +59,14 @@ def undirected_graph(occurrences: DataFrame, labels: DataFrame, prefilter: bool
     return TemporalGraph.build(snapshots.undirected(occurrences), labels, prefilter)
 
 
-def time_sets(matches: DataFrame) -> DataFrame:
-    """One row a mapping with the number of common snapshots of its runs."""
+def time_sets(matches: DataFrame, k: int) -> DataFrame:
+    """One row a mapping that has a run of ``k`` with the number of all its common snapshots, those of shorter runs too.
+
+    ``matches`` are the runs of any length, i.e. of a match with k = 1.
+    """
     names = [c for c in matches.columns if c.startswith("q")]
-    return matches.groupBy(*names).agg(F.sum(iv.length(F.col("run_start"), F.col("run_end"))).alias("n_snapshots"))
+    length = iv.length(F.col("run_start"), F.col("run_end"))
+    return matches.groupBy(*names).agg(F.sum(length).alias("n_snapshots"), F.max(length).alias("_longest")).where(F.col("_longest") >= k).drop("_longest")
 
 
 def one_hop(g: TemporalGraph, p: Pattern, root: int, k: int) -> DataFrame:

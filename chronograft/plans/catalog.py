@@ -274,8 +274,9 @@ _register("static_single_vertex", f"WITH {QUARTER} SELECT id AS q0 FROM lab WHER
     lambda s, d: _static(s, d, pattern.Pattern(("B",), ())))
 _register("static_multilabel", sql.static(PATH3, QUARTER, labels=_TWO))(
     lambda s, d: static.match(static.collapse(tables.trade_occurrences(s, d, "quarter")), _two_labels(s, d), PATH3))
-_register("static_edge_label", sql.static(PATH3, QUARTER, select="SELECT * FROM hit WHERE false"))(
-    lambda s, d: _static(s, d, pattern.parse("x:A y:B 1\ny:B z:C 2", "edges")))
+_register("static_edge_label", sql.static(PATH3, QUARTER, select="SELECT * FROM hit WHERE q0 < q1 AND q1 >= q2"))(
+    lambda s, d: static.match(static.collapse(tables.trade_occurrences(s, d, "quarter")).withColumn("label", F.when(F.col("src") < F.col("dst"), "1").otherwise("2")),
+                              tables.nation_labels(s, d), pattern.parse("x:A y:B 1\ny:B z:C 2", "edges")))
 _register("static_undirected_projection", f"WITH {QUARTER}, a AS ({ARCS}) SELECT src, dst FROM a UNION SELECT dst, src FROM a")(
     lambda s, d: static.undirected(static.collapse(tables.trade_occurrences(s, d, "quarter"))))
 _register("static_nlf_filter", f"""WITH {QUARTER}, a AS ({ARCS}), u AS (SELECT src, dst FROM a UNION SELECT dst, src FROM a),
@@ -295,7 +296,7 @@ def static_max_results(spark: SparkSession, d: str) -> DataFrame:
   SELECT 'trade' AS data, 'edge' AS query, count(*)::BIGINT AS n FROM hit UNION ALL SELECT 'trade', 'vertex', count(*) FROM lab WHERE label = 'B'""")
 def static_batch(spark: SparkSession, d: str) -> DataFrame:
     graph = ("trade", static.collapse(tables.trade_occurrences(spark, d, "quarter")), tables.nation_labels(spark, d))
-    rows = static.batch([graph], [("edge", pattern.of("x:A y:B")), ("vertex", pattern.Pattern(("B",), ()))])
+    rows = static.batch([graph], [("edge", pattern.of("x:A y:B")), ("vertex", pattern.Pattern(("B",), ()))], time_limit=0)
     return spark.createDataFrame([(r["data"], r["query"], r["count"]) for r in rows], "data string, query string, n long")
 
 
@@ -319,8 +320,8 @@ _register("mini_root_filter", f"{_BFS} SELECT id AS v FROM st WHERE label = 'A'"
 _register("bfs_child_filter", f"""{_BFS} SELECT src AS v_par, dst AS v_cand FROM pairs WHERE src IN (SELECT id FROM st WHERE label = 'A' AND out_deg >= 1 AND n_near_labels >= 1 AND duration >= 3)
   AND dst IN (SELECT id FROM st WHERE label = 'B' AND out_deg >= 1 AND n_near_labels >= 1 AND duration >= 3)""")(
     lambda s, d: variants.child_filter(o := tables.trade_occurrences(s, d), _bfs_roots(s, d), variants.root_filter(variants.vertex_stats(o, tables.nation_labels(s, d)), TRIANGLE, TREE, 1, 3)))
-_register("bfs_match", f"WITH {QUARTER}, {_EITHER}, kept AS (SELECT * FROM eo WHERE src <> dst), {sql.matched(PATH3, 4)} SELECT q0, q1, q2, sum(run_end - run_start + 1)::BIGINT AS n_snapshots FROM found GROUP BY ALL")(
-    lambda s, d: variants.time_sets(matcher.match(variants.either_direction_graph(tables.trade_occurrences(s, d), tables.nation_labels(s, d)), PATH3, 4)))
+_register("bfs_match", f"WITH {QUARTER}, {_EITHER}, kept AS (SELECT * FROM eo WHERE src <> dst), {sql.matched(PATH3, 4)} SELECT q0, q1, q2, count(*)::BIGINT AS n_snapshots FROM snap WHERE (q0, q1, q2) IN (SELECT (q0, q1, q2) FROM found) GROUP BY ALL")(
+    lambda s, d: variants.time_sets(matcher.match(variants.either_direction_graph(tables.trade_occurrences(s, d), tables.nation_labels(s, d)), PATH3, 1), 4))
 _register("bfs_vertex_times", f"WITH {QUARTER} SELECT id, string_agg(t, ',' ORDER BY t) AS times FROM (SELECT src AS id, t FROM occ UNION SELECT dst, t FROM occ) GROUP BY id")(
     lambda s, d: (o := tables.trade_occurrences(s, d)).select(F.col("src").alias("id"), "t").union(o.select("dst", "t")).distinct().groupBy("id").agg(F.array_join(F.array_sort(F.collect_list("t")), ",").alias("times")))
 
@@ -426,6 +427,8 @@ _register("fn_union_duration", f"WITH {MONTH} SELECT src AS id, count(DISTINCT t
     lambda s, d: snapshots.islands(snapshots.dedup(_occ(s, d))).groupBy(F.col("src").alias("id")).agg(F.collect_list(F.struct("start", "end")).alias("i")).select("id", iv.union_duration(F.col("i")).alias("n")))
 _register("fn_format_intervals", f"{_ARC} SELECT src, dst, {_SHOWN} AS shown FROM runs GROUP BY src, dst")(
     lambda s, d: _histories(s, d).select("src", "dst", iv.format_intervals(F.col("intervals")).alias("shown")))
+_register("fn_format_times", f"{_ARC} SELECT src, dst, {_SHOWN} AS shown FROM runs GROUP BY src, dst")(
+    lambda s, d: _occ(s, d).groupBy("src", "dst").agg(iv.format_times(F.collect_list("t")).alias("shown")))
 _register("fn_has_consecutive", f"WITH {MONTH} SELECT src, dst, max(CASE WHEN n = t + 1 THEN 1 ELSE 0 END) = 1 AS consecutive FROM (SELECT *, lead(t) OVER (PARTITION BY src, dst ORDER BY t) AS n FROM occ) GROUP BY src, dst")(
     lambda s, d: _histories(s, d).select("src", "dst", iv.has_run(F.col("intervals"), 2).alias("consecutive")))
 _register("fn_label_codec", f"WITH {MONTH} SELECT id, label, ascii(label) - 65 AS code, label AS again FROM lab")(

@@ -1,7 +1,7 @@
 """Tables kept in the folder that driver and executors share.
 
 The cluster names that folder in ``spark.checkpoint.dir``; a local one is set only where the
-setting is missing (tests, notebooks). A written table cuts the lineage without relying on any
+setting is missing and Spark runs in one process (tests, notebooks), since executors of a cluster share no local folder. A written table cuts the lineage without relying on any
 executor's own disk, so a lost executor costs a re-read and no re-computation.
 """
 
@@ -19,6 +19,8 @@ def shared_dir(spark: SparkSession) -> str:
     if not base:
         base = spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
         base = f"file://{tempfile.mkdtemp(prefix='chronograft-')}"
         spark.sparkContext.setCheckpointDir(base)
     return base.rstrip("/")

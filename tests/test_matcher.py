@@ -159,3 +159,18 @@ def test_empty_graph(spark):
     assert matcher.count(matcher.match(g, TRIANGLE, 2)).first()[0] == 0
     d = decompose.by_temporal(TRIANGLE, *stats.label_tables(g))
     assert [r["n_candidates"] for r in candidates.summary(candidates.reduced(g, TRIANGLE, d, 2)).collect()] == [0, 0, 0]
+
+
+def test_time_sets_count_short_runs_too(spark):
+    runs = [(1, 2, 1, 4), (1, 2, 6, 6), (3, 4, 1, 2), (3, 4, 5, 6)]
+    found = variants.time_sets(spark.createDataFrame(runs, "q0 int, q1 int, run_start int, run_end int"), 3)
+    assert [tuple(r) for r in found.collect()] == [(1, 2, 5)]
+
+
+def test_format_times(spark):
+    from pyspark.sql import functions as F
+
+    from chronograft.functions import intervals as iv
+
+    df = spark.createDataFrame([([3, 1, 2, 2, 7],), ([],), ([5],)], "t array<int>")
+    assert [r[0] for r in df.select(iv.format_times(F.col("t"))).collect()] == ["[1-3, 7]", "[]", "[5]"]

@@ -12,3 +12,25 @@ def test_keep_forget_clear(spark):
     assert spark.sparkContext._jvm.java.io.File(storage._own_dir(spark).removeprefix("file://")).exists()
     kept = storage.keep(spark.range(3).toDF("x"), "c")
     assert kept.count() == 3
+
+
+def test_a_cluster_needs_a_shared_folder():
+    import pytest
+
+    class Conf:
+        def get(self, *_):
+            return None
+
+    class Context:
+        master = "spark://host:7077"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        conf, sparkContext = Conf(), Context()
+
+    from chronograft import storage
+
+    with pytest.raises(ValueError):
+        storage.shared_dir(Session())
