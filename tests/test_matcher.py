@@ -132,7 +132,7 @@ def test_total_duration_and_direction(spark):
     assert rows(matcher.match(g, p, 2)) == []
     occ = spark.createDataFrame([(2, 1, t) for t in (1, 2)], "src long, dst long, t int")
     lab = spark.createDataFrame([(1, "A"), (2, "B")], "id long, label string")
-    assert rows(variants.time_sets(matcher.match(variants.either_direction_graph(occ, lab), pattern.of("x:A y:B"), 2))) == [(1, 2, 2)]
+    assert rows(variants.time_sets(matcher.match(variants.either_direction_graph(occ, lab), pattern.of("x:A y:B"), 1), 2)) == [(1, 2, 2)]
 
 
 def test_cap_and_deadline(spark):
