@@ -162,10 +162,10 @@ def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
 
 
-def _members(keyed: DataFrame) -> DataFrame:
-    """Adds ``n``, the size of its bucket (t, key), to each row of a bucket of two or more."""
-    sizes = keyed.groupBy("t", "key").agg(F.count("*").alias("n")).where("n > 1")
-    return keyed.join(sizes, ["t", "key"])
+def _members(keyed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows of buckets (t, key) of two or more with ``n``, the size of their bucket; and the stored sizes."""
+    sizes = keep(keyed.groupBy("t", "key").agg(F.count("*").alias("n")).where("n > 1"), "bucket-sizes")
+    return keyed.join(sizes, ["t", "key"]), sizes
 
 
 def _keyed(items: DataFrame, masks: list[tuple[int, int]]) -> DataFrame:
@@ -188,13 +188,15 @@ def _refinements() -> list[list[tuple[int, int, int]]]:
 def links(items: DataFrame, bucket: int = BUCKET) -> DataFrame:
     """(u, v): a spanning forest of every bucket's links between the distinct fingerprints ``fp``."""
     spark = items.sparkSession
-    members = _members(_keyed(items, [(t, _signed(agreed)) for t, (agreed, _) in enumerate(choices(list(range(64))))]))
+    members, sizes = _members(_keyed(items, [(t, _signed(agreed)) for t, (agreed, _) in enumerate(choices(list(range(64))))]))
     buckets = members.where(F.col("n") <= bucket).select("t", "key", "fp")
     for level in _refinements():
+        if sizes.where(F.col("n") > bucket).isEmpty():
+            break
         # 400 and 8,000 rows
         finer = F.broadcast(spark.createDataFrame(level, "t int, t2 int, mask long"))
-        refined = members.where(F.col("n") > bucket).join(finer, "t")
-        members = _members(refined.select(F.col("t2").alias("t"), F.col("fp").bitwiseAND(F.col("mask")).alias("key"), "fp"))
+        hot = keep(members.where(F.col("n") > bucket).select("t", "fp"), "hot-buckets").join(finer, "t")
+        members, sizes = _members(hot.select(F.col("t2").alias("t"), F.col("fp").bitwiseAND(F.col("mask")).alias("key"), "fp"))
         last = level[0][1] > 400
         buckets = buckets.union((members if last else members.where(F.col("n") <= bucket)).select("t", "key", "fp"))
     return buckets.groupBy("t", "key").agg(F.collect_list("fp").alias("fps")).select("fps").mapInArrow(_linked, "u long, v long")
