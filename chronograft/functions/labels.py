@@ -1,8 +1,9 @@
 """Seeded vertex labels: uniform A..E drawn in ascending order of all ids of the raw input.
 
 The stream is MT19937 seeded by its standard initialisation, the draw a multiply-shift with
-rejection, as common C++ libraries do it. Draws are sequential by nature, so they are made once,
-in chunks, and joined to the ids by rank; ranks come from a range partitioning, not from one task.
+rejection, as common C++ libraries do it. The driver only steps the generator, a vectorised pass that
+leaves one state a chunk; tasks draw the labels of their chunks from those states, and labels meet the
+ids by rank. Ranks come from a range partitioning, not from one task.
 """
 
 from __future__ import annotations
@@ -10,6 +11,8 @@ from __future__ import annotations
 import random
 from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -50,13 +53,45 @@ def ranked(ids: DataFrame, column: str = "id") -> DataFrame:
     return placed.join(F.broadcast(starts), part == F.col("_part")).select(column, (F.col("_start") + row).alias("rank"))
 
 
+def _raw(state: bytes) -> np.random.MT19937:
+    """The generator in a state of 624 words and a position."""
+    words = np.frombuffer(state, np.uint32)
+    out = np.random.MT19937()
+    out.state = {"bit_generator": "MT19937", "state": {"key": words[:624].copy(), "pos": int(words[624])}}
+    return out
+
+
+def _accepted(rng: np.random.MT19937, chunk: int, n: int) -> np.ndarray:
+    """The draws that ``chunk`` steps of the generator give; rejected steps give none."""
+    wide = rng.random_raw(chunk) * np.uint64(n)
+    return (wide >> np.uint64(32))[(wide & np.uint64(0xFFFFFFFF)) >= (1 << 32) % n]
+
+
+def chunk_states(seed: int, total: int, chunk: int, n: int = len(LABELS)) -> Iterator[tuple[int, bytes]]:
+    """(rank of its first draw, state) of each chunk of steps until ``total`` draws are covered."""
+    rng = _raw(np.array(generator(seed).getstate()[1], np.uint32).tobytes())
+    first = 0
+    while first < total:
+        now = rng.state["state"]
+        yield first, np.append(now["key"], np.uint32(now["pos"])).astype(np.uint32).tobytes()
+        first += len(_accepted(rng, chunk, n))
+
+
 def seeded_labels(ids: DataFrame, seed: int = 42, column: str = "id", chunk: int = 1_000_000) -> DataFrame:
-    """(id, label) for each distinct id."""
+    """(id, label) for each distinct id. The driver holds 2.5 KB a chunk."""
     spark = ids.sparkSession
     order = ranked(ids, column)
     total = order.count()
-    stream = draws(seed)
-    parts = [(at, "".join(LABELS[next(stream)] for _ in range(min(chunk, total - at)))) for at in range(0, total, chunk)]
-    table = spark.createDataFrame(parts or [(0, "")], "chunk long, labels string")
-    at = F.col("rank") - F.col("rank") % chunk
-    return order.join(table, at == F.col("chunk")).select(column, F.substring("labels", (F.col("rank") % chunk + 1).cast("int"), F.lit(1)).alias("label"))
+
+    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = np.array(list(LABELS))
+        for b in batches:
+            for first, state in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                drawn = names[_accepted(_raw(state), chunk, len(LABELS)).astype(np.int64)]
+                ranks = np.arange(first, first + len(drawn))
+                for at in range(0, len(drawn), 65536):
+                    yield pa.RecordBatch.from_arrays([pa.array(ranks[at : at + 65536]), pa.array(drawn[at : at + 65536])], names=["rank", "label"])
+
+    states = list(chunk_states(seed, total, chunk))
+    table = spark.createDataFrame(states, "first long, state binary").repartition(max(1, len(states)), "first")
+    return order.join(table.mapInArrow(draw, "rank long, label string"), "rank").select(column, "label")

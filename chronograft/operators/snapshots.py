@@ -98,6 +98,23 @@ def filter_consecutive(occurrences: DataFrame) -> DataFrame:
     return expand(consecutive_only(islands(dedup(occurrences)), drop_loops=False))
 
 
+def filter_counts(lines: DataFrame) -> DataFrame:
+    """One row of a filter's report over lines (value) ``src dst t``: lines that are no row, arcs, arcs kept.
+
+    Blank lines count nowhere; what follows three integers is passed over.
+    """
+    grammar = r"^\s*([+-]?\d+)\s+([+-]?\d+)\s+([+-]?\d+)"
+    number = lambda i, kind: F.regexp_extract("value", grammar, i).try_cast(kind)
+    rows = lines.where(~F.col("value").rlike(r"^\s*$")).select(number(1, "long").alias("src"), number(2, "long").alias("dst"), number(3, "int").alias("t"))
+    bad = F.col("src").isNull() | F.col("dst").isNull() | F.col("t").isNull()
+    odd = rows.agg(F.count_if(bad).alias("n_invalid"))
+    longest = F.max(iv.length(F.col("start"), F.col("end"))).alias("longest")
+    arcs = islands(dedup(rows.where(~bad))).groupBy("src", "dst").agg(longest)
+    kept = arcs.agg(F.count("*").alias("n_arcs"), F.count_if(F.col("longest") >= 2).alias("n_kept"))
+    one = lambda df: df.withColumn("_one", F.lit(1))
+    return one(odd).join(one(kept), "_one").drop("_one")
+
+
 def history(occurrences: DataFrame) -> DataFrame:
     """(src, dst, times): comma list of an arc's snapshots, sorted, repeats kept."""
     return occurrences.groupBy("src", "dst").agg(F.array_join(F.array_sort(F.collect_list("t")), ",").alias("times"))

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chronograft.operators.matcher import arc_order, capped, within
+from chronograft.plans.decompose import depth_first, matching_order, start_vertices
 from chronograft.plans.pattern import Pattern, check
 
 ARC_LABEL = "1"
@@ -41,11 +42,29 @@ def label_filter(arcs: DataFrame, labels: DataFrame, p: Pattern, q: int) -> Data
     return out
 
 
-def match(arcs: DataFrame, labels: DataFrame, p: Pattern, reduce: bool = False) -> DataFrame:
+def start_vertex(arcs: DataFrame, labels: DataFrame, p: Pattern, most: int = 3) -> list[tuple[int, int, int]]:
+    """(pattern vertex, vertices of its label, those that pass :func:`label_filter`) of the ``most`` vertices of
+    least label count / degree, the one of fewest passing vertices first."""
+    counts = {r[0]: r[1] for r in labels.groupBy("label").agg(F.count_distinct("id")).collect()}  # a row a label
+    rows = [(q, counts.get(p.labels[q], 0), label_filter(arcs, labels, p, q).count()) for q in start_vertices(p, counts, most)]
+    return sorted(rows, key=lambda r: r[2])
+
+
+def search_order(p: Pattern, arcs: DataFrame, labels: DataFrame) -> list[tuple[int, int]]:
+    """Arcs in the order in which :func:`matching_order` binds their ends, from the start vertex's tree."""
+    sizes = {q: label_filter(arcs, labels, p, q).count() for q in range(p.n)}
+    root = start_vertex(arcs, labels, p)[0][0]
+    tree = depth_first(p, {q: float(n) if q != root else -1.0 for q, n in sizes.items()}, {})
+    place = {q: i for i, q in enumerate(matching_order(tree, sizes))}
+    return sorted(p.arcs, key=lambda a: (max(place[a[0]], place[a[1]]), min(place[a[0]], place[a[1]])))
+
+
+def match(arcs: DataFrame, labels: DataFrame, p: Pattern, reduce: bool = False, order: list[tuple[int, int]] | None = None) -> DataFrame:
     """(q0..qn): all embeddings. ``labels`` (id, label) may give a vertex several labels.
 
     Data arcs carry the label 1 unless ``arcs`` has a column ``label``; a pattern arc that asks for a
-    label only meets arcs that carry it. ``reduce`` first semi-joins vertices by neighbour labels.
+    label only meets arcs that carry it. ``reduce`` first semi-joins vertices by neighbour labels;
+    ``order`` is a connected order of the pattern's arcs, e.g. of :func:`search_order`.
     """
     check(p, single_vertex=True)
     if not p.arcs:
@@ -54,7 +73,7 @@ def match(arcs: DataFrame, labels: DataFrame, p: Pattern, reduce: bool = False)
         arcs = arcs.withColumn("label", F.lit(ARC_LABEL))
     asked = dict(zip(p.arcs, p.arc_labels, strict=True)) if p.arc_labels else {}
     out, bound = None, []
-    for a, b in arc_order(p):
+    for a, b in order or arc_order(p):
         leg = arcs.where(F.col("label") == asked[a, b]) if asked.get((a, b)) else arcs
         leg = leg.select(F.col("src").alias(f"l{a}"), F.col("dst").alias(f"l{b}") if a != b else F.col("dst").alias("l_loop"))
         if a == b:

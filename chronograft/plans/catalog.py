@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chronograft.functions import intervals as iv
+from chronograft.functions import labels
 from chronograft.operators import candidates, matcher, snapshots, static, stats, variants
 from chronograft.operators.graph import TemporalGraph
 from chronograft.plans import decompose, pattern, sql
@@ -63,10 +64,18 @@ _register("pre_compact", f"{KEPT} SELECT id, (dense_rank() OVER (ORDER BY id) -
 
 
 def _compact(g: TemporalGraph) -> DataFrame:
-    from chronograft.functions.labels import ranked
+    return labels.ranked(snapshots.universe(g.arcs())).withColumnRenamed("rank", "compact")
 
-    return ranked(snapshots.universe(g.arcs())).withColumnRenamed("rank", "compact")
 
+# the first draws of the generator need its first state only: 227 numbers, more than there are nations
+_TWISTER = """mt(i, x) AS (SELECT 0::UBIGINT, 42::UBIGINT UNION ALL SELECT i + 1, (1812433253::UBIGINT * xor(x, x >> 30) + i + 1) % 4294967296::UBIGINT FROM mt WHERE i < 623),
+m0 AS (SELECT a.i, (a.x & 2147483648::UBIGINT) | (b.x & 2147483647::UBIGINT) AS y, c.x FROM mt a JOIN mt b ON b.i = a.i + 1 JOIN mt c ON c.i = a.i + 397),
+m1 AS (SELECT i, xor(xor(x, y >> 1), CASE WHEN y % 2 = 1 THEN 2567483615::UBIGINT ELSE 0::UBIGINT END) AS v FROM m0),
+m2 AS (SELECT i, xor(v, v >> 11) AS v FROM m1), m3 AS (SELECT i, xor(v, (v << 7) & 2636928640::UBIGINT) AS v FROM m2),
+m4 AS (SELECT i, xor(v, (v << 15) & 4022730752::UBIGINT) AS v FROM m3), m5 AS (SELECT i, xor(v, v >> 18) AS v FROM m4)"""
+_register("pre_labels", f"""WITH RECURSIVE {_TWISTER}, {MONTH}, ids AS (SELECT src AS id FROM occ UNION SELECT dst FROM occ),
+  r AS (SELECT id, row_number() OVER (ORDER BY id) - 1 AS i FROM ids) SELECT id, chr((65 + (v * 5::UBIGINT >> 32))::INT) AS label FROM r JOIN m5 ON m5.i = r.i""")(
+    lambda s, d: labels.seeded_labels(snapshots.universe(_occ(s, d))))
 
 # ---- statistics
 
@@ -116,6 +125,37 @@ def topk_start_vertices(spark: SparkSession, d: str) -> DataFrame:
     return spark.createDataFrame(rows, "q int, label string, score double")
 
 
+_BY_TEMP, _BY_TOPO = "deg / (n * life)", "n / deg"
+
+
+def _tree(spark: SparkSession, t: decompose.Decomposition) -> DataFrame:
+    return spark.createDataFrame([(q, t.parent[q], i) for i, q in enumerate(t.order)], "q int, parent int, place int")
+
+
+def _walk(score: str) -> str:
+    """A triangle's depth-first walk visits its vertices by score."""
+    return f"""{_LIFE}, w AS (SELECT q, row_number() OVER (ORDER BY {score}, n, q) - 1 AS place FROM {_DEGREES} JOIN ls USING (label))
+  SELECT q, lag(q) OVER (ORDER BY place) AS parent, place::INT AS place FROM w"""
+
+
+_register("dec_tree_temporal", _walk(_BY_TEMP))(lambda s, d: _tree(s, decompose.by_temporal(TRIANGLE, *stats.label_tables(_graph(s, d)))))
+_register("dec_tree_topo", _walk(_BY_TOPO))(lambda s, d: _tree(s, decompose.by_topology(TRIANGLE, stats.label_tables(_graph(s, d))[0])))
+
+
+@_register("dec_bfs_tree", f"""{_LIFE}, w AS (SELECT q, row_number() OVER (ORDER BY n * life / out_deg, q) AS i FROM {_DEGREES} JOIN ls USING (label))
+  SELECT q, CASE WHEN i > 1 THEN (SELECT q FROM w WHERE i = 1) END AS parent, (i > 1)::INT AS level FROM w""")
+def dec_bfs_tree(spark: SparkSession, d: str) -> DataFrame:
+    t = decompose.breadth_first(TRIANGLE, *stats.label_tables(_graph(spark, d)))
+    return spark.createDataFrame([(q, t.parent[q], t.levels[q]) for q in t.order], "q int, parent int, level int")
+
+
+@_register("dec_root_by_label", " UNION ALL ".join(f"SELECT * FROM (SELECT '{x}' AS score, label AS root FROM ({_LIFE} SELECT * FROM {_DEGREES} JOIN ls USING (label)) ORDER BY {f}, n, label LIMIT 1)" for x, f in (("temporal", _BY_TEMP), ("topological", _BY_TOPO))))
+def dec_root_by_label(spark: SparkSession, d: str) -> DataFrame:
+    counts, lifespans = stats.label_tables(_graph(spark, d))
+    pairs = [(TRIANGLE.labels[a], TRIANGLE.labels[b]) for a, b in TRIANGLE.arcs]
+    return spark.createDataFrame([("temporal", decompose.choose_label(pairs, counts, lifespans)), ("topological", decompose.choose_label(pairs, counts))], "score string, root string")
+
+
 # ---- candidates: the triangle's tree is 0 -> 1 -> 2 with the closing arc 2 -> 0
 
 K = 2
@@ -138,8 +178,8 @@ t1 AS (SELECT * FROM b1 WHERE v_par IN (FROM b0)),
 t2 AS (SELECT * FROM r2 WHERE v_par IN (SELECT v_cand FROM t1))"""
 
 
-def _rels(t: candidates.CandidateTree) -> DataFrame:
-    out = t.roots.select(F.lit(0).alias("q"), F.lit(-1).cast("long").alias("v_par"), F.col("v").alias("v_cand"))
+def _rels(t: candidates.CandidateTree, root: int = 0) -> DataFrame:
+    out = t.roots.select(F.lit(root).alias("q"), F.lit(-1).cast("long").alias("v_par"), F.col("v").alias("v_cand"))
     for q, r in t.relations.items():
         out = out.union(r.select(F.lit(q), "v_par", "v_cand"))
     return out
@@ -184,6 +224,22 @@ _register("set_diff_trim", f"{_CAND} SELECT v_par, v_cand FROM r1 EXCEPT SELECT
     lambda s, d: (t := candidates.build(_sparse(s, d), TRIANGLE, TREE, K)).relations[1].join(
         candidates.trim_top_down(candidates.trim_bottom_up(t)).relations[1], ["v_par", "v_cand"], "left_anti"))
 
+RECIPROCAL, INCOMING = pattern.of("x:A y:B", "y:B x:A"), pattern.of("x:A y:B", "z:C y:B")
+
+
+def _base(p: pattern.Pattern) -> str:
+    return f"WITH {sql.hops(72)}, {sql.KEPT}, {sql.PROFILES}, {sql.durable(K)}, " + ", ".join(f"c{q} AS ({sql.vertex(p, q, K)})" for q in range(p.n))
+
+
+def _grown(p: pattern.Pattern):
+    tree = decompose.by_topology(p, dict.fromkeys("ABCDE", 5))
+    return lambda s, d: _rels(candidates.build(_sparse(s, d), p, tree, K), tree.root)
+
+
+_register("cand_expand_reciprocal", f"""{_base(RECIPROCAL)} SELECT 0 AS q, -1::BIGINT AS v_par, v AS v_cand FROM c0
+  UNION ALL SELECT 1, src, dst FROM dur WHERE src IN (FROM c0) AND dst IN (FROM c1) AND (dst, src) IN (SELECT (src, dst) FROM dur)""")(_grown(RECIPROCAL))
+_register("cand_expand_incoming", f"""{_base(INCOMING)} SELECT 1 AS q, -1::BIGINT AS v_par, v AS v_cand FROM c1
+  UNION ALL SELECT 0, dst, src FROM dur WHERE dst IN (FROM c1) AND src IN (FROM c0) UNION ALL SELECT 2, dst, src FROM dur WHERE dst IN (FROM c1) AND src IN (FROM c2)""")(_grown(INCOMING))
 _register("bfs_trim", f"""{_CAND}, d2 AS (SELECT * FROM r2 WHERE v_par IN (SELECT v_cand FROM r1)), u1 AS (SELECT * FROM r1 WHERE v_cand IN (SELECT v_par FROM d2)),
   u0 AS (SELECT v FROM c0 WHERE v IN (SELECT v_par FROM u1)) """ + _REL_SQL.format("u0", "u1", "d2"))(
     lambda s, d: _rels(candidates.trim_bottom_up(candidates.trim_top_down(candidates.build(_sparse(s, d), TRIANGLE, TREE, K)))))
@@ -285,6 +341,24 @@ _register("static_nlf_filter", f"""WITH {QUARTER}, a AS ({ARCS}), u AS (SELECT s
     lambda s, d: static.label_filter(static.collapse(tables.trade_occurrences(s, d, "quarter")), tables.nation_labels(s, d), PATH3, 1))
 
 
+_register("static_ordered", sql.static(PATH3, QUARTER))(lambda s, d: _in_order(static.collapse(tables.trade_occurrences(s, d, "quarter")), tables.nation_labels(s, d)))
+
+
+def _in_order(arcs: DataFrame, lab: DataFrame) -> DataFrame:
+    return static.match(arcs, lab, PATH3, order=static.search_order(PATH3, arcs, lab))
+
+
+@_register("dec_static_start", f"""WITH {QUARTER}, a AS ({ARCS}), u AS (SELECT src, dst FROM a UNION SELECT dst, src FROM a),
+  c AS (SELECT DISTINCT u.src AS id, x.label AS own, y.label AS near FROM u JOIN lab x ON x.id = u.src JOIN lab y ON y.id = u.dst),
+  n AS (SELECT q, p.label, (SELECT count(*) FROM lab WHERE lab.label = p.label) AS n_label, deg FROM (VALUES (0, 'A', 1), (1, 'B', 2), (2, 'C', 1)) p(q, label, deg)),
+  f AS (SELECT 0 AS q, count(*) AS n_passing FROM c WHERE own = 'A' AND near = 'B' UNION ALL SELECT 2, count(*) FROM c WHERE own = 'C' AND near = 'B'
+    UNION ALL SELECT 1, count(*) FROM c WHERE own = 'B' AND near = 'A' AND id IN (SELECT id FROM c WHERE near = 'C'))
+  SELECT q, n_label, n_passing, row_number() OVER (ORDER BY n_passing, n_label / deg, q) = 1 AS chosen FROM n JOIN f USING (q)""")
+def dec_static_start(spark: SparkSession, d: str) -> DataFrame:
+    rows = static.start_vertex(static.collapse(tables.trade_occurrences(spark, d, "quarter")), tables.nation_labels(spark, d), PATH3)
+    return spark.createDataFrame([(*r, i == 0) for i, r in enumerate(rows)], "q int, n_label long, n_passing long, chosen boolean")
+
+
 @_register("static_max_results", sql.static(PATH3, QUARTER, select="SELECT least(count(*), 10)::BIGINT AS n, count(*) > 10 AS truncated, false AS timed_out FROM hit"))
 def static_max_results(spark: SparkSession, d: str) -> DataFrame:
     arcs = static.collapse(tables.trade_occurrences(spark, d, "quarter"))
@@ -332,6 +406,15 @@ _register("mini_total_duration_match", f"{_SNAP3} SELECT q0, q1, q2, count(*)::B
     lambda s, d: matcher.match(_graph(s, d), PATH3, 6, durability="total"))
 _register("mini_onehop_blocks", f"""{KEPT}, {sql.RUNS}, {sql.durable(3)} SELECT 1 AS q, src AS v_root, count(*)::BIGINT AS n_total FROM dur JOIN lab a ON a.id = src JOIN lab b ON b.id = dst
   WHERE a.label = 'A' AND b.label = 'B' GROUP BY src""")(lambda s, d: variants.one_hop(_graph(s, d), TRIANGLE, 0, 3))
+_register("mini_onehop_temporal", f"""{_LIFE}, {sql.durable(3)}, root AS (SELECT q, label FROM {_DEGREES} JOIN ls USING (label) ORDER BY {_BY_TEMP}, n, q LIMIT 1)
+  SELECT ((root.q + 1) % 3)::INT AS q, src AS v_root, count(*)::BIGINT AS n_total FROM root JOIN lab a ON a.label = root.label JOIN dur ON src = a.id
+  JOIN lab b ON b.id = dst AND b.label = chr((65 + (root.q + 1) % 3)::INT) GROUP BY ALL""")(lambda s, d: _one_hop_temporal(_graph(s, d)))
+
+
+def _one_hop_temporal(g: TemporalGraph) -> DataFrame:
+    return variants.one_hop(g, TRIANGLE, decompose.by_temporal(TRIANGLE, *stats.label_tables(g)).root, 3)
+
+
 _register("limit_blocks", f"""{KEPT}, {sql.RUNS}, {sql.durable(3)} SELECT 1 AS q, src AS v_root, count(*)::BIGINT AS n_total FROM dur JOIN lab a ON a.id = src JOIN lab b ON b.id = dst
   WHERE a.label = 'A' AND b.label = 'B' GROUP BY src ORDER BY src LIMIT 3""")(lambda s, d: variants.limited_blocks(variants.one_hop(_graph(s, d), TRIANGLE, 0, 3), 3))
 _register("mini_tree_edge_cands", f"""{KEPT}, e AS (SELECT DISTINCT src, dst, a.label AS x, b.label AS y FROM kept JOIN lab a ON a.id = src JOIN lab b ON b.id = dst)
@@ -367,6 +450,15 @@ _register("ds_count_durable", KEPT.replace("WHERE src <> dst AND", "WHERE") + "
 
 
 
+@_register("ds_filter_counts", f"""WITH ok AS (SELECT DISTINCT user_id % 30 AS src, event_id % 7 AS dst, event_id // 40 AS t FROM events WHERE event_id % 50 <> 0), n AS (SELECT *, lead(t) OVER (PARTITION BY src, dst ORDER BY t) AS n FROM ok)
+  SELECT (SELECT count(*) FROM events WHERE event_id % 50 = 0)::BIGINT AS n_invalid, count(DISTINCT (src, dst))::BIGINT AS n_arcs, count(DISTINCT CASE WHEN n = t + 1 THEN (src, dst) END)::BIGINT AS n_kept FROM n""")
+def ds_filter_counts(spark: SparkSession, d: str) -> DataFrame:
+    """Report of a filter over text lines, some of which are no rows."""
+    e, at = spark.read.parquet(f"{d}/events.parquet"), F.col("event_id")
+    row = F.concat_ws(" ", F.col("user_id") % 30, at % 7, F.floor(at / 40))
+    return snapshots.filter_counts(e.select(F.when(at % 50 == 0, F.concat_ws(" ", F.lit("lost"), at)).otherwise(row).alias("value")))
+
+
 @_register("src_temporal_strict", f"WITH {MONTH} SELECT * FROM occ")
 def src_temporal_strict(spark: SparkSession, d: str) -> DataFrame:
     """Occurrences written as an edge list and read back by the strict grammar."""
@@ -397,6 +489,18 @@ def snk_native(spark: SparkSession, d: str) -> DataFrame:
     return sinks.native_lines(arcs, tables.nation_labels(spark, d)).select("value")
 
 
+@_register("src_native_graph", f"""WITH {QUARTER}, arcs AS ({ARCS}), r AS (SELECT id, dense_rank() OVER (ORDER BY id) - 1 AS v FROM (SELECT src AS id FROM arcs UNION SELECT dst FROM arcs))
+  SELECT 'v' AS kind, 0::BIGINT AS graph_id, v::BIGINT AS x, (ascii(label) - 64)::BIGINT AS y FROM r JOIN lab USING (id)
+  UNION ALL SELECT 'e', 0, a.v, b.v FROM arcs JOIN r a ON a.id = src JOIN r b ON b.id = dst""")
+def src_native_graph(spark: SparkSession, d: str) -> DataFrame:
+    """A static graph written as text part files and read back with all checks."""
+    path = new_path(spark, "native")
+    sinks.native_lines(static.collapse(tables.trade_occurrences(spark, d, "quarter")), tables.nation_labels(spark, d)).select("value").write.text(path)
+    vertices, arcs = text.read_native(spark, path)
+    first = vertices.select(F.lit("v").alias("kind"), "graph_id", F.col("v").alias("x"), F.col("label").cast("long").alias("y"))
+    return first.union(arcs.select(F.lit("e"), "graph_id", "src", "dst"))
+
+
 # ---- scalar functions over arc histories
 
 

@@ -61,6 +61,24 @@ def choose_root(p: Pattern, scores: dict[int, float], counts: dict[str, int]) ->
     return best
 
 
+def choose_label(pairs: list[tuple[str, str]], counts: dict[str, int], lifespans: dict[str, float] | None = None) -> str:
+    """Root of a pattern given as pairs of labels, each label being one vertex of either-way neighbours.
+
+    With lifespans the least degree / (count * lifespan), else the least count / degree; labels of
+    no vertices or no lifespan are out. Ties go to fewer vertices, then to the lower label.
+    """
+    near: dict[str, set[str]] = {}
+    for a, b in pairs:
+        near.setdefault(a, set()).add(b)
+        near.setdefault(b, set()).add(a)
+    usable = [x for x in near if counts.get(x, 0) > 0 and (lifespans is None or lifespans.get(x, 0.0) > 0)]
+    if not usable:
+        raise ValueError("no label of the pattern has vertices")
+    score = {x: counts[x] / len(near[x]) if lifespans is None else len(near[x]) / (counts[x] * lifespans[x]) for x in usable}
+    least = min(score.values())
+    return min((x for x in usable if score[x] - least < 1e-12), key=lambda x: (counts[x], x))
+
+
 def _finish(p: Pattern, root: int, order: list[int], parent: dict, scores: dict, **more) -> Decomposition:
     tree = {frozenset((a, b)) for a, b in parent.items() if b is not None}
     children = {q: [c for c in order if parent.get(c) == q] for q in range(p.n)}

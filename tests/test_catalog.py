@@ -11,7 +11,7 @@ SOME = [
     "agg_cand_summary", "agg_counters", "agg_nlf", "agg_vertex_duration", "bfs_child_filter", "bfs_match", "cand_expand", "dec_score_temporal",
     "ds_bucket", "ds_count_durable", "ds_history", "fn_interval_intersect", "fn_union_duration", "match_active_string", "match_count_only",
     "match_hops", "match_reciprocal", "match_reduced", "match_selfloop", "match_triangle", "mini_total_duration_match", "pre_compact",
-    "pre_consecutive_filter", "static_max_results", "static_multilabel", "trim_top_down",
+    "pre_consecutive_filter", "pre_labels", "src_native_graph", "dec_tree_temporal", "ds_filter_counts", "static_max_results", "static_multilabel", "trim_top_down",
 ]
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables here")
 

@@ -71,3 +71,13 @@ def test_label_stream():
     assert "".join("ABCDE"[next(stream)] for _ in range(9)) == "BDEADDCCA"
     other = draws(43)
     assert [next(other) for _ in range(9)] != [1, 3, 4, 0, 3, 3, 2, 2, 0]
+
+
+def test_root_by_label():
+    pairs = [("A", "B"), ("B", "C"), ("A", "B")]
+    assert d.choose_label(pairs, {"A": 4, "B": 4, "C": 3}) == "B"
+    assert d.choose_label(pairs, {"A": 4, "B": 8, "C": 4}) == "A"
+    assert d.choose_label(pairs, {"A": 4, "B": 8, "C": 4}, {"A": 1.0, "B": 1.0, "C": 2.0}) == "C"
+    assert d.choose_label(pairs, {"B": 3, "C": 2}, {"B": 2.0}) == "B"
+    with pytest.raises(ValueError, match="no label"):
+        d.choose_label(pairs, {})

@@ -46,15 +46,82 @@ NATIVE = "t # 0\n3 2 3\nv 0 1\nv 1 2\nv 2 3\ne 0 1\ne 1 2\nt # -1\n"
 PATH = "t # 0\n3 2 3 1\nv 0 1\nv 1 2\nv 2 3\ne 0 1 1\ne 1 2 1\nt # -1\n"
 
 
-@pytest.mark.parametrize(
-    "bad",
-    ["1 2\n3", NATIVE.replace("t # -1\n", ""), NATIVE.replace("3 2 3", "0 2 3"), NATIVE.replace("v 1 2", "v 0 1"), NATIVE.replace("v 2 3\n", ""),
-     NATIVE.replace("v 2 3", "v 2 4"), NATIVE.replace("e 1 2", "e 1 3"), NATIVE.replace("e 1 2", "e 0 1"), NATIVE.replace("e 1 2", "e 1 1"), NATIVE + "x\n"])
+BAD = ["1 2\n3", NATIVE.replace("t # -1\n", ""), NATIVE.replace("3 2 3", "0 2 3"), NATIVE.replace("v 1 2", "v 0 1"), NATIVE.replace("v 2 3\n", ""),
+       NATIVE.replace("v 2 3", "v 2 4"), NATIVE.replace("e 1 2", "e 1 3"), NATIVE.replace("e 1 2", "e 0 1"), NATIVE.replace("e 1 2", "e 1 1"), NATIVE + "x\n"]
+
+
+@pytest.mark.parametrize("bad", BAD)
 def test_native_rejects(bad):
     with pytest.raises(text.NativeFormatError):
         text.parse_native(bad)
 
 
+def test_native_files(spark, tmp_path):
+    f = tmp_path / "g.txt"
+    read = lambda: [rows(x) for x in text.read_native(spark, str(f))]
+    f.write_text(NATIVE.replace("e 1 2", "e 1 2 9").replace("v 2 3", "v 2 3\n\nv 2 1").replace("t # -1\n", "t # 7\n1 0 4\nv 0 4\nt # -1\n"))
+    assert read() == [[(0, 0, "1"), (0, 1, "2"), (0, 2, "1"), (0, 2, "3"), (7, 0, "4")], [(0, 0, 1, "1"), (0, 1, 2, "1")]]
+    for bad in ("", NATIVE.replace("t # -1\n", "")):
+        f.write_text(bad)
+        with pytest.raises(text.NativeFormatError):
+            read()
+    own = NATIVE.replace("t # -1\n", "")
+    changes = {
+        1: [], 2: [("v 1 2", "v 1 4")], 3: [("v 2 3", "v 2 3\nv 2 3")], 4: [("v 2 3\n", "")], 5: [("e 1 2", "e 1 3")], 6: [("e 1 2", "e 0 1")], 7: [("e 1 2", "e 1 1")],
+        8: [("3 2 3", "0 2 3")], 9: [("3 2 3\n", "")], 10: [("3 2 3\nv 0 1", "v 0 1\n3 2 3")], 11: [("e 1 2", "e 1 2\nf 1 2")], 12: [("e 1 2", "e 1 2 0")],
+        13: [("e 1 2", "")], 14: [("t # 0", "t # -2")], 15: [("e 1 2", "e 1 99999999999999999999")]}
+    graphs = [own]
+    for edits in list(changes.values())[1:]:
+        g = own
+        for a, b in edits:
+            assert a in g
+            g = g.replace(a, b)
+        graphs.append(g)
+    f.write_text("".join(graphs) + "t # -1\nmore\n")
+    lines = text._native_lines(spark, str(f)).cache()
+    heads = lines.where("kind = 'h'").select("graph", F.col("x").alias("n_v"), F.col("y").alias("n_e"), F.col("z").alias("n_l"))
+    assert {r[0] for r in text._native_faults(lines, heads).collect()} == set(range(2, 17))
+    lines.unpersist()
+    # many splits, so that markers and lines of a graph lie in different tasks
+    n = 1000
+    f.write_text("".join(f"t # {g}\n{n} {n - 1} 5\n" + "".join(f"v {i} {i % 5 + 1}\n" for i in range(n)) + "".join(f"e {i} {i + 1}\n" for i in range(n - 1)) for g in range(2)) + "t # -1\n")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", 8192)
+    try:
+        vertices, arcs = read()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert vertices == [(g, i, str(i % 5 + 1)) for g in range(2) for i in range(n)]
+    assert arcs == [(g, i, i + 1, "1") for g in range(2) for i in range(n - 1)]
+
+
+def test_filter_counts(spark):
+    lines = ["1 2 3", "1 2 4 more", "  ", "", "x", "1 2", "3 4 1", "3 4 3", "5 5 1", "5 5 2", "99999999999999999999 1 1"]
+    df = spark.createDataFrame([(x,) for x in lines], "value string")
+    assert tuple(snapshots.filter_counts(df).first()) == (3, 3, 2)
+    assert tuple(snapshots.filter_counts(df.limit(0)).first()) == (0, 0, 0)
+
+
+def test_labels_of_chunks(spark):
+    from itertools import islice
+
+    from chronograft.functions.labels import draws
+
+    want = ["ABCDE"[x] for x in islice(draws(7), 5000)]
+    for chunk in (700, 5000, 10_000):
+        assert [r[1] for r in rows(seeded_labels(spark.range(5000), 7, chunk=chunk))] == want
+    assert rows(seeded_labels(spark.range(0), 7)) == []
+
+
+def test_start_and_order(spark):
+    arcs = spark.createDataFrame([(1, 2), (2, 3), (4, 2), (5, 6)], "src long, dst long")
+    lab = spark.createDataFrame([(1, "A"), (2, "B"), (3, "C"), (4, "A"), (5, "A"), (6, "C")], "id long, label string")
+    p = of("a:A b:B", "b:B c:C")
+    assert static.start_vertex(arcs, lab, p) == [(1, 1, 1), (2, 2, 1), (0, 3, 2)]
+    order = static.search_order(p, arcs, lab)
+    assert sorted(order) == sorted(p.arcs)
+    assert rows(static.match(arcs, lab, p, order=order)) == [(1, 2, 3), (4, 2, 3)] == rows(static.match(arcs, lab, p))
+
+
 def test_native_query_rejects():
     for bad in (PATH.replace("e 1 2 1", "e 1 2 2"), PATH.replace("v 2 3", "v 1 3"), PATH.replace("e 1 2 1\n", "").replace("3 2 3 1", "3 1 3 1")):
         with pytest.raises(text.NativeFormatError):
