@@ -65,8 +65,12 @@ def checked_ids(rows: DataFrame) -> DataFrame:
 
 
 def read_history(spark: SparkSession, path: str) -> DataFrame:
-    """(src, dst, times) of a history dump ``v1 v2 s1,s2,...``; other lines are passed over."""
-    grammar = r"^\s*(\d+)\s+(\d+)\s+(-?\d+(?:,-?\d+)*)\s*$"
+    """(src, dst, times) of a history dump ``v1 v2 s1,s2,...``; other lines are passed over.
+
+    Possessive, since Java matches a greedy group of that many repeats by recursion: thousands of
+    times overflow the task's stack, which ends the executor.
+    """
+    grammar = r"^\s*+(\d++)\s++(\d++)\s++(-?\d++(?:,-?\d++)*+)\s*+$"
     lines = spark.read.text(path).where(F.col("value").rlike(grammar))
     part = lambda i: F.regexp_extract("value", grammar, i)
     return lines.select(part(1).cast("long").alias("src"), part(2).cast("long").alias("dst"), F.split(part(3), ",").cast("array<int>").alias("times"))

@@ -202,6 +202,22 @@ def test_dataset_tools(spark):
     assert [r["value"] for r in snapshots.unique_lines(lines).orderBy("line_no").collect()] == ["b", "a"]
 
 
+def test_long_histories(spark, tmp_path):
+    at = F.col("id") % 5000
+    many = spark.range(50_000).select(F.lit(1).cast("long").alias("src"), F.when(F.col("id") < 25_000, 2).otherwise(3).cast("long").alias("dst"), "id")
+    many = many.select("src", "dst", F.when(F.col("dst") == 2, at * 2).otherwise(at - 9).cast("int").alias("t"))
+    sinks.write_history(many, str(tmp_path / "h"))
+    back = text.read_history(spark, str(tmp_path / "h"))
+    want = {2: sorted(x * 2 for x in range(5000) for _ in range(5)), 3: sorted(x - 9 for x in range(5000) for _ in range(5))}
+    assert {(r["src"], r["dst"]): r["times"] for r in back.collect()} == {(1, d): t for d, t in want.items()}
+    assert tuple(snapshots.count_durable(back).first()) == (2, 1)
+    odd = tmp_path / "odd"
+    odd.write_text(f"1 2 {'5,' * 20_000}\n1 2 {'5,' * 20_000}x\n \t3\t4  -1,0 \n5 6 1,,2\n7 8\n\n7 8 {'5,' * 20_000}6\n")
+    back = text.read_history(spark, str(odd))
+    assert [(r["src"], r["dst"], r["times"]) for r in back.orderBy("src").collect()] == [(3, 4, [-1, 0]), (7, 8, [5] * 20_000 + [6])]
+    assert tuple(snapshots.count_durable(back).first()) == (2, 2)
+
+
 def test_report_lines(spark):
     g = TemporalGraph.build(occ(spark, [(1, 2, 1), (1, 2, 2), (1, 2, 5), (1, 2, 6)]), spark.createDataFrame([(1, "A"), (2, "B")], "id long, label string"))
     p = of("x:A y:B")
